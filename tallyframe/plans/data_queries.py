@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.operators import copy_diff, hierarchy, orphan_refs
+from tallyframe.operators import copy_diff, feed_drift, hierarchy, orphan_refs
 from tallyframe.operators.copy_diff import Compared
+from tallyframe.session import cut
 
 CUSTOMER_FIELDS = (Compared("name"), Compared("email", "folded"), Compared("city"), Compared("balance", "number", 0.005))
 
@@ -64,6 +65,23 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(_paths(spark, d)).withColumnsRenamed({"tree_id": "template_id"})
 
 
+def _feed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    cells = cut(feed_drift.cells(_t(spark, d, "raw_feed_lines")))
+    return cells, cut(feed_drift.file_columns(cells))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return feed_drift.drift(*_feed(spark, d))
+
+
+def p7_schema(spark: SparkSession, d: str) -> DataFrame:
+    return feed_drift.feed_schema(_feed(spark, d)[1])
+
+
+def p7_table(spark: SparkSession, d: str) -> DataFrame:
+    return feed_drift.consistent_table(*_feed(spark, d))
+
+
 _P1 = r"""
 WITH a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, loaded_at DESC NULLS LAST) AS rn FROM customers_a WHERE id IS NOT NULL) WHERE rn = 1),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, loaded_at DESC NULLS LAST) AS rn FROM customers_b WHERE id IS NOT NULL) WHERE rn = 1),
@@ -122,6 +140,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_field_values": p1_field_values,
     "p2_found": p2_found, "p2_orphans_by_period": p2_orphans_by_period,
     "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants,
+    "p7_found": p7_found, "p7_schema": p7_schema, "p7_table": p7_table,
 }
 
 SQL = {
