@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.session import cut
+from tallyframe.session import cut, release
 
 _T = ["tree", "node"]
 
@@ -69,7 +69,8 @@ def resolve(nodes: DataFrame) -> DataFrame:
         now = tuple(state.where("done is null").agg(F.count("*"), F.count_distinct("tree", "ptr")).first())
         if now[0] == 0 or now == before:
             break
-        before, state = now, cut(_double(state, False))
+        before, old, state = now, state, cut(_double(state, False))
+        release(old)
     open_ = state.where("done is null")
     loops = open_.select("tree", F.col("ptr").alias("node")).distinct().withColumn("loop", F.lit(True))
     arrived = state.where("done is not null")
@@ -95,7 +96,8 @@ def paths(nodes: DataFrame, resolved: DataFrame) -> DataFrame:
     good = nodes.join(resolved.where("kind = 'ok'").select(*_T), _T, "left_semi")
     state = cut(_start(good, True))
     while state.where("done is null").limit(1).count():
-        state = cut(_double(state, True))
+        old, state = state, cut(_double(state, True))
+        release(old)
     return state.join(nodes.select(*_T, "tree_id", "node_id"), _T).select("tree_id", "node_id", "path", F.size("path").alias("depth"), F.element_at("path", 1).alias("root"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,7 +39,44 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+def _filesystem(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        fs, p = _filesystem(spark, path)
+        fs.delete(p, True)
+    except Exception:  # noqa: BLE001 - the session may be gone; the folder is temporary
+        pass
+
+
+_FOLDERS: set[str] = set()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    The table outlives executors, has known statistics (so joins with it are
+    planned by its true size) and none of the plan that made it.  Tables go
+    away with ``release`` or when the application ends.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/tallyframe-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tallyframe_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table of ``cut`` that nothing will read again."""
+    path = getattr(df, "_tallyframe_path", None)
+    if path:
+        _remove(df.sparkSession, path)
