@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import components
+from tallyframe.llm import components, eval_leaks, languages
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -20,6 +20,35 @@ def p6_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("group_id").agg((F.count("*") + 1).alias("n_mentions"))
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return eval_leaks.find_leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_leaks_by_item(spark: SparkSession, d: str) -> DataFrame:
+    return eval_leaks.leaks_by_item(p8_leaks(spark, d))
+
+
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents")
+    return languages.label_sentences(docs, languages.train(docs))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.wrong_labels(languages.document_languages(_sentences(spark, d)))
+
+
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    return languages.document_languages(_sentences(spark, d))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return languages.segments(_sentences(spark, d))
+
+
 _P6 = r"""
 WITH RECURSIVE raw AS (
   SELECT lower(trim(mention_a_id)) AS a, lower(trim(mention_b_id)) AS b FROM entity_links WHERE composite_score >= 0.5
@@ -32,7 +61,11 @@ reach(x, y) USING KEY (x) AS (
 SELECT y AS group_id, x AS mention_id FROM reach WHERE x NOT LIKE '~%' AND x <> y
 """
 
-QUERIES = {"p6_found": p6_found, "p6_group_sizes": p6_group_sizes}
+QUERIES = {
+    "p6_found": p6_found, "p6_group_sizes": p6_group_sizes,
+    "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_leaks_by_item": p8_leaks_by_item,
+    "p10_found": p10_found, "p10_documents": p10_documents, "p10_segments": p10_segments,
+}
 
 SQL = {
     "p6_found": _P6,
