@@ -5,13 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import components, eval_leaks, languages
+from tallyframe.llm import components, entity_match, eval_leaks, languages, name_variants, source_mix
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _vendors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    erp = name_variants.records(_t(spark, d, "new_erp_vendors"), "erp", "erp_id", name="legal_name", street="address_line", zip="zip_code", town="city_name", phone="contact_phone", web="contact_email")
+    return erp, name_variants.records(_t(spark, d, "legacy_vendors"), "legacy", "vendor_id", name="vendor_name", street="street", zip="postcode", town="town", phone="phone", web="website")
+
+
+def p4_matches(spark: SparkSession, d: str) -> DataFrame:
+    return entity_match.match(*_vendors(spark, d)).withColumnsRenamed({"key_left": "erp_id", "key_right": "vendor_id"})
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_matches(spark, d).select("erp_id", "vendor_id")
+
+
+def p5_variants(spark: SparkSession, d: str) -> DataFrame:
+    erp, legacy = _vendors(spark, d)
+    return entity_match.variants(erp.unionByName(legacy))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_variants(spark, d).select("key_a", "key_b")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return components.mention_groups(_t(spark, d, "entity_links"), _t(spark, d, "entity_conflicts"))
 
@@ -32,6 +54,14 @@ def p8_leaks_by_item(spark: SparkSession, d: str) -> DataFrame:
     return eval_leaks.leaks_by_item(p8_leaks(spark, d))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return source_mix.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return source_mix.shares(*source_mix.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets")))
+
+
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents")
     return languages.label_sentences(docs, languages.train(docs))
@@ -62,8 +92,10 @@ SELECT y AS group_id, x AS mention_id FROM reach WHERE x NOT LIKE '~%' AND x <>
 """
 
 QUERIES = {
+    "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p5_variants": p5_variants,
     "p6_found": p6_found, "p6_group_sizes": p6_group_sizes,
     "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_leaks_by_item": p8_leaks_by_item,
+    "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_documents": p10_documents, "p10_segments": p10_segments,
 }
 
