@@ -28,7 +28,7 @@ BLOCK_TOKENS, BUCKET_ROWS = 1024, 20_000
 #: Place of the vocabulary (public byte-level BPE ranks) and its splitting pattern.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern by which that vocabulary splits text.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def source_form(c: Column) -> Column:
