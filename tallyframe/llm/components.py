@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators.graph import star_components
 from tallyframe.session import cut, release
 
 #: The reduction goes on while a round takes off more than this share of the links.
@@ -75,23 +76,6 @@ def compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rest.unionByName(short).distinct(), ranked.where("vertex != a").select("vertex", F.col("a").alias("parent"))
 
 
-def solve_core(edges: DataFrame) -> DataFrame:
-    """(vertex, label) by large-star and small-star steps; the label is the
-    smallest vertex.  Neighbourhoods are only ever reduced to a minimum."""
-    stars, seen = edges, None
-    while True:
-        both = _both_ways(stars)
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u != v").distinct()
-        down = large.groupBy("v").agg(F.min("u").alias("m"))
-        old, stars = stars, cut(large.join(down, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct())
-        release(old)
-        now = tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == seen:
-            return stars.select(F.col("v").alias("vertex"), F.col("u").alias("label"))
-        seen = now
-
-
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(vertex, label) for every vertex of a link between different vertices;
     vertices of one connected group share the label, one of its vertices.
@@ -112,7 +96,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         shrunk, size = size - now, now
         if shrunk <= WORTHWHILE * (shrunk + size):
             break
-    labels = solve_core(edges) if size else edges.select(F.col("u").alias("vertex"), F.col("v").alias("label"))
+    labels = star_components(edges).where("vertex != label") if size else edges.select(F.col("u").alias("vertex"), F.col("v").alias("label"))
     for layer in reversed(layers):
         up = labels.withColumnsRenamed({"vertex": "parent"})
         labels = cut(labels.unionByName(layer.join(up, "parent", "left").select("vertex", F.coalesce("label", "parent").alias("label"))))
