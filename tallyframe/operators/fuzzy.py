@@ -86,7 +86,9 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     ix = _keyed(b, t).select(F.col("v").alias("b"), F.explode("k.ix").alias("key"))
     la, lb = F.length("a"), F.length("b")
     met = pr.join(ix, "key").where(200.0 * F.least(la, lb) >= F.lit(float(threshold)) * (la + lb)).select("a", "b").distinct()
-    return met.withColumn("score", indel("a", "b")).where(F.col("score") >= threshold)
+    # an edit distance is never more than insertions and deletions alone; this check stays in the JVM
+    most = F.floor((1 - t) * (la + lb) + 1e-9).cast("int")
+    return met.where(F.levenshtein("a", "b") <= most).withColumn("score", indel("a", "b")).where(F.col("score") >= threshold)
 
 
 def fuzzy_match(a: DataFrame, column_a: str, b: DataFrame, column_b: str, threshold: float = 80) -> DataFrame:

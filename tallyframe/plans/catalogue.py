@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyframe.plans import data_queries
+from tallyframe.plans import data_queries, reference_queries
 
-FLAGSHIP = "p1_found"
-QUERIES = {**data_queries.QUERIES}
-SQL = {**data_queries.SQL}
+FLAGSHIP = "recon_compare"
+QUERIES = {**data_queries.QUERIES, **reference_queries.QUERIES}
+SQL = {**data_queries.SQL, **reference_queries.SQL}
