@@ -87,19 +87,39 @@ def account_label(columns: Sequence[str]) -> Column:
     return F.when(F.length(v) > 120, F.concat(F.substring(v, 1, 117), F.lit("..."))).otherwise(v)
 
 
+def _group_whole(pattern: str) -> str:
+    """The pattern with all of it as the first group; leading flags stay in front."""
+    flags = re.match(r"\(\?[a-zA-Z]+\)", pattern)
+    head = flags.group() if flags else ""
+    return f"{head}({pattern[len(head):]})"
+
+
 def scan(rows: DataFrame, rules: Sequence[Rule], columns: Sequence[str], least_confidence: float = 0.0) -> DataFrame:
     """A finding for each row and rule: the first of the rule's columns whose
-    text has the pattern.  ``rows`` has file, row_index and ``columns``.  All
-    rules are one projection over one scan; null fields match nothing."""
+    text has the pattern.  ``rows`` has file, row_index and ``columns``; null
+    fields match nothing.
+
+    One scan serves all rules.  Each distinct pattern is tried once on each
+    column it is asked of, however many rules share it; which rules that makes is
+    settled within the row."""
     live = usable(rules, columns, least_confidence)
     if not live:
         return rows.sparkSession.createDataFrame([], FINDING)
-    hits = []
-    for r, at in live:
-        field = F.coalesce(*[F.when(F.col(f"`{c}`").cast("string").rlike(r.pattern), F.struct(F.lit(c).alias("field"), F.substring(F.regexp_extract(F.col(f"`{c}`").cast("string"), f"({r.pattern})" if not re.match(r"\(\?[a-z]+\)", r.pattern) else re.sub(r"^(\(\?[a-z]+\))(.*)$", r"\1(\2)", r.pattern, flags=re.S), 1), 1, 200).alias("matched_value"))) for c in at])
-        hits.append(F.when(field.isNotNull(), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.name).alias("rule_name"), F.lit(r.finding_type).alias("finding_type"), F.lit(r.severity).alias("severity"), field["field"].alias("field"), field["matched_value"].alias("matched_value"), F.lit(float(r.confidence)).alias("confidence"))))
-    out = rows.select("file", "row_index", account_label(columns).alias("account"), F.inline(F.array_compact(F.array(*hits))))
-    return out.select("file", "row_index", "rule_id", "rule_name", "finding_type", "severity", "field", "matched_value", "account", "confidence")
+    tried = list(dict.fromkeys((r.pattern, c) for r, at in live for c in at))
+    name = {pc: f"__m{i}" for i, pc in enumerate(tried)}
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    first = rows.select("file", "row_index", account_label(columns).alias("account"), *[F.when(text(c).rlike(p), F.substring(F.regexp_extract(text(c), _group_whole(p), 1), 1, 200)).alias(name[p, c]) for p, c in tried])
+    at_ = {pc: i for i, pc in enumerate(tried)}
+    wanted = ", ".join(f"named_struct('r', {i}, 'p', array({', '.join(str(at_[r.pattern, c]) for c in at)}))" for i, (r, at) in enumerate(live))
+    hit = F.array_compact(F.array(*[F.when(F.col(name[pc]).isNotNull(), F.lit(i)) for i, pc in enumerate(tried)]))
+    # of each rule's columns the first that was hit
+    settled = F.filter(F.transform(F.expr(f"array({wanted})"), lambda u: F.struct(u["r"].alias("__rule"), F.get(F.filter(u["p"], lambda i: F.array_contains(F.col("__hit"), i)), F.lit(0)).alias("__i"))), lambda x: x["__i"].isNotNull())
+    some = first.withColumn("__hit", hit).where(F.size("__hit") > 0)
+    found = some.select("file", "row_index", "account", F.array(*[F.col(name[pc]) for pc in tried]).alias("__v"), F.inline(settled))
+    found = found.select("file", "row_index", "account", "__rule", F.element_at(F.array(*[F.lit(c) for _, c in tried]), F.col("__i") + 1).alias("field"), F.element_at("__v", F.col("__i") + 1).alias("matched_value"))
+    # as many rows as rules, whose number is bounded where they are read
+    table = rows.sparkSession.createDataFrame([(i, r.rule_id, r.name, r.finding_type, r.severity, float(r.confidence)) for i, (r, _) in enumerate(live)], "__rule int, rule_id string, rule_name string, finding_type string, severity string, confidence double")
+    return found.join(F.broadcast(table), "__rule").select("file", "row_index", "rule_id", "rule_name", "finding_type", "severity", "field", "matched_value", "account", "confidence")
 
 
 def sequential_test(rows: DataFrame) -> DataFrame:

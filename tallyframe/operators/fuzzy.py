@@ -56,7 +56,9 @@ def segment_keys(text: str, t: float) -> tuple[list[tuple], list[tuple]]:
         if not cuts:
             pr.add((m, -1, ""))
         for i, (a, s) in enumerate(cuts):
-            pr |= {(m, i, text[p : p + s]) for p in range(max(0, a - k), min(n - s, a + k) + 1)}
+            # of the segments that survive, one has at most i edits before and k - i after it
+            lo_p, hi_p = max(0, a - i, a + n - m - (k - i)), min(n - s, a + i, a + n - m + (k - i))
+            pr |= {(m, i, text[p : p + s]) for p in range(lo_p, hi_p + 1)}
     return ix, sorted(pr)
 
 
@@ -86,9 +88,9 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     ix = _keyed(b, t).select(F.col("v").alias("b"), F.explode("k.ix").alias("key"))
     la, lb = F.length("a"), F.length("b")
     met = pr.join(ix, "key").where(200.0 * F.least(la, lb) >= F.lit(float(threshold)) * (la + lb)).select("a", "b").distinct()
-    # an edit distance is never more than insertions and deletions alone; this check stays in the JVM
+    # an edit distance is never more than insertions and deletions alone; this check is banded and stays in the JVM
     most = F.floor((1 - t) * (la + lb) + 1e-9).cast("int")
-    return met.where(F.levenshtein("a", "b") <= most).withColumn("score", indel("a", "b")).where(F.col("score") >= threshold)
+    return met.withColumn("most", most).where(F.expr("levenshtein(a, b, most) >= 0")).drop("most").withColumn("score", indel("a", "b")).where(F.col("score") >= threshold)
 
 
 def fuzzy_match(a: DataFrame, column_a: str, b: DataFrame, column_b: str, threshold: float = 80) -> DataFrame:

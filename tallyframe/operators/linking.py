@@ -173,3 +173,38 @@ def find_entity(cluster_rows: DataFrame, member_names: DataFrame, query: str, to
     names = cluster_rows.select("label", F.col("canonical_name").alias("raw_name")).unionByName(member_names.select("label", "raw_name"))
     s = names.where("raw_name is not null").withColumn("score", similarity(F.lower(F.lit(query)), F.lower("raw_name"))).groupBy("label").agg(F.max("score").alias("score")).where(F.col("score") > least)
     return cluster_rows.join(s, "label").orderBy(F.desc("score"), "canonical_name").limit(top)
+
+
+#: Beginnings of accounting terms that name something in a text.
+TERMS = r"total\s+\w|net\s+\w|gross\s+\w|operating\s+\w|capital\s+\w|cash\s+flow|ebitda|revenue|cost\s+of\s+\w|depreciation|amortization|interest\s+\w|retained\s+earnings|working\s+capital|accounts\s+[rp]\w|profit\s+\w|loss\s+\w|margin|variance|budget|forecast"
+
+
+def names_in(text: Column) -> Column:
+    """Names that a text mentions, in this order: quoted, with underscores, in
+    CamelCase, and accounting terms with the words after them (without trailing
+    small words, over three letters)."""
+    quoted = F.regexp_extract_all(text, F.lit('"([^"]{2,50})"'), F.lit(1))
+    snake = F.regexp_extract_all(text, F.lit(r"\b([A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+)\b"), F.lit(1))
+    camel = F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b"), F.lit(1))
+    terms = F.regexp_extract_all(text, F.lit(rf"(?i)\b((?:{TERMS})[\w\s]{{0,28}})"), F.lit(1))
+    trimmed = F.filter(F.transform(terms, lambda t: F.regexp_replace(F.trim(t), r"(?i)\s+(is|are|was|for|the|of|in|and|or)\s*$", "")), lambda t: F.length(t) > 3)
+    return F.concat(F.transform(quoted, F.trim), snake, camel, trimmed)
+
+
+def mentions_from_dna(documents: DataFrame, most: int | None = MENTIONS_PER_FILE) -> DataFrame:
+    """Mentions in formula descriptions: documents with file_path, archetype and
+    formula_intents (cell_ref, raw_formula, business_meaning), and cross_references
+    (relationship, source_cell, target_cell) if there.  A meaning that names
+    nothing stands for itself if short, else its first clause does."""
+    doc = documents.withColumns({c: F.lit(None).cast("string") for c in ("file_path", "archetype") if c not in documents.columns})
+    base = doc.select("file_path", "archetype", F.posexplode("formula_intents").alias("pos", "x"))
+    meaning = F.col("x.business_meaning")
+    fallback = F.when(F.length(meaning) <= 120, meaning).otherwise(F.regexp_extract(meaning, r"^[^.,;:]+", 0))
+    found = F.when(F.size(names_in(meaning)) > 0, names_in(meaning)).otherwise(F.array(fallback))
+    m = base.select("file_path", "archetype", "pos", F.posexplode_outer(found).alias("k", "raw_name"), F.col("x.cell_ref").alias("cell_ref"), F.col("x.raw_formula").alias("formula"), meaning.alias("business_meaning"), F.lit("formula_intent").alias("source_type"))
+    if "cross_references" in documents.columns:
+        c = doc.select("file_path", "archetype", F.posexplode("cross_references").alias("pos", "x"))
+        m = m.unionByName(c.select("file_path", "archetype", (F.col("pos") + 1_000_000).alias("pos"), F.posexplode(names_in(F.col("x.relationship"))).alias("k", "raw_name"), F.col("x.source_cell").alias("cell_ref"), F.lit("").alias("formula"), F.col("x.relationship").alias("business_meaning"), F.lit("cross_reference").alias("source_type")))
+    m = m.where("length(raw_name) > 3 and length(raw_name) <= 150").withColumn("pos", F.col("pos") * 1000 + F.col("k")).drop("k")
+    key = F.concat_ws("\u0001", "file_path", F.col("pos").cast("string"), "raw_name", "cell_ref")
+    return capped_mentions(m.withColumn("mention_id", F.concat(F.lit("mention_"), F.substring(F.sha2(key, 256), 1, 12))).withColumn("normalized_name", normalized_name(F.col("raw_name"))), most)
