@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--master", default=None)
     sub = p.add_subparsers(dest="command", required=True)
 
-    def add(name: str, *args: str, **options: dict) -> None:
+    def add(name: str, /, *args: str, **options: dict) -> None:
         s = sub.add_parser(name)
         for a in args:
             s.add_argument(a)
