@@ -29,7 +29,7 @@ def event(i, minute, user=1):
 
 
 def test_windows_on_a_stream_drop_late_rows(spark, tmp_path):
-    out = stream(spark, tmp_path, [[event(1, 1), event(2, 2)], [event(3, 300)], [event(4, 3), event(5, 600)]], EVENTS, lambda df: incremental.windowed(df, "ts", ["user_id"], "1 hour", late="10 minutes", value="value"))
+    out = stream(spark, tmp_path, [[event(1, 1), event(2, 2)], [event(3, 300)], [event(6, 310)], [event(4, 3), event(5, 600)]], EVENTS, lambda df: incremental.windowed(df, "ts", ["user_id"], "1 hour", late="10 minutes", value="value"))
     assert {(str(r.window_start), r.n) for r in out.collect()} >= {("2024-01-01 00:00:00", 2)}
 
 
