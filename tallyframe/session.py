@@ -80,3 +80,11 @@ def release(df: DataFrame) -> None:
     path = getattr(df, "_tallyframe_path", None)
     if path:
         _remove(df.sparkSession, path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores.  Work on texts in
+    Python outweighs moving them, and a small input may come as one split; larger
+    inputs have splits enough and stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
