@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.session import spread
+
 #: Words in a row that make a leak, and words of an anchor (half of them).
 LEAST_WORDS, ANCHOR = 12, 6
 #: Characters of item text in one automaton; more items than that go in further passes.
@@ -166,7 +168,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_
                 rows = [(d, *x) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) if isinstance(t, str) for x in automaton.find(t)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_words", "char_start", "char_end", "answer_seen"])
 
-        found = documents.select("doc_id", "text").mapInPandas(scan, "doc_id long, item_id long, n_words int, char_start int, char_end int, answer_seen boolean")
+        # ids travel as text: pandas has no integer column with nulls
+        found = spread(documents.select(F.col("doc_id").cast("string"), "text")).mapInPandas(scan, "doc_id string, item_id long, n_words int, char_start int, char_end int, answer_seen boolean").withColumn("doc_id", F.col("doc_id").cast("long"))
         out = found if out is None else out.unionByName(found)
     return out
 

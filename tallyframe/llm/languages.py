@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.session import spread
+
 #: Hash buckets of n-grams, and lengths of n-grams.
 BUCKETS, NGRAMS = 1 << 15, (1, 2, 3, 4)
 #: Bound of the training sample, in documents for each label.
@@ -211,7 +213,7 @@ def train(documents: DataFrame, docs_per_label: int = DOCS_PER_LABEL) -> Model:
     share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, docs_per_label / v))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_000)) / 1_000_000
     sample = labelled.where(draw < F.element_at(share, F.col("label"))).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
-    sample = sample.select("half", "label", "text")
+    sample = spread(sample.select("half", "label", "text"))
     first = _counts(sample)
     halves = spark.sparkContext.broadcast([model_of({k: v for (h, k), v in first.items() if h == half}).parts() for half in (0, 1)])
     good = {k for k, v in _borne_out(sample, halves).items() if v >= BORNE_OUT}
@@ -253,50 +255,63 @@ def judge_texts(model: Model, texts: list[str | None]) -> list[list[tuple[int, i
     return out
 
 
-def label_sentences(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, label (code the document's label names, or null), char_start,
-    char_end, whole, lang_code, confidence: a row for each sentence.  Null and
-    empty texts and texts without words give none."""
+def _per_text(documents: DataFrame, model: Model, rows_of: Callable, schema: str) -> DataFrame:
+    """Rows that ``rows_of`` makes of a text's judged sentences, without a shuffle:
+    a text's sentences never leave its batch."""
     sent = documents.sparkSession.sparkContext.broadcast(model.parts())
+    names = ["doc_id", "label", *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own_model = Model(*sent.value)
+        own = Model(*sent.value)
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
-                rows = [(d, lab, *s) for d, lab, own in zip(part["doc_id"], part["label"], judge_texts(own_model, part["text"].tolist()), strict=True) for s in own]
-                yield pd.DataFrame(rows, columns=["doc_id", "label", "char_start", "char_end", "whole", "lang_code", "confidence"])
-
-    return documents.select("doc_id", label_code(F.col("lang")).alias("label"), "text").mapInPandas(run, "doc_id long, label string, char_start int, char_end int, whole boolean, lang_code string, confidence double")
-
-
-def segments(sentence_rows: DataFrame) -> DataFrame:
-    """Runs of sentences of one language: doc_id, lang_code, char_start, char_end,
-    n_sentences, confidence (mean by length).  Folded document by document; a
-    document's sentences come from one text."""
-    s = F.array_sort(F.collect_list(F.struct("char_start", "char_end", "lang_code", "confidence")))
-    zero = F.array().cast("array<struct<lang_code:string,char_start:int,char_end:int,n_sentences:int,weight:double,conf:double>>")
-
-    def add(acc: Column, x: Column) -> Column:
-        w = (x["char_end"] - x["char_start"]).cast("double")
-        last = F.try_element_at(acc, F.lit(-1))
-        new = F.struct(x["lang_code"].alias("lang_code"), x["char_start"].alias("char_start"), x["char_end"].alias("char_end"), F.lit(1).alias("n_sentences"), w.alias("weight"), (x["confidence"] * w).alias("conf"))
-        more = F.struct(last["lang_code"].alias("lang_code"), last["char_start"].alias("char_start"), x["char_end"].alias("char_end"), (last["n_sentences"] + 1).alias("n_sentences"), (last["weight"] + w).alias("weight"), (last["conf"] + x["confidence"] * w).alias("conf"))
-        same = (F.size(acc) > 0) & (last["lang_code"] == x["lang_code"])
-        return F.when(same, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(acc, F.array(new)))
-
-    g = sentence_rows.groupBy("doc_id").agg(F.aggregate(s, zero, add).alias("runs"))
-    return g.select("doc_id", F.inline("runs")).select("doc_id", "lang_code", "char_start", "char_end", "n_sentences", (F.col("conf") / F.col("weight")).alias("confidence"))
-
-
-def document_languages(sentence_rows: DataFrame) -> DataFrame:
-    """doc_id, label, main language and confidence (its share of the text times
-    the mean confidence), and the languages with a whole sentence."""
-    w = (F.col("char_end") - F.col("char_start")).cast("double")
-    by = sentence_rows.groupBy("doc_id", "label", "lang_code").agg(F.sum(w).alias("w"), F.sum(w * F.col("confidence")).alias("c"), F.max("whole").alias("whole"))
-    top = F.max_by(F.struct("lang_code", "c"), F.struct("w", "lang_code"))
-    g = by.groupBy("doc_id", "label").agg(top.alias("t"), F.sum("w").alias("w"), F.array_sort(F.collect_set(F.when(F.col("whole"), F.col("lang_code")))).alias("whole_langs"))
-    return g.select("doc_id", "label", F.col("t.lang_code").alias("lang_code"), (F.col("t.c") / F.col("w")).alias("confidence"), "whole_langs")
+                yield pd.DataFrame([(d, lab, *row) for d, lab, judged in zip(part["doc_id"], part["label"], judge_texts(own, part["text"].tolist()), strict=True) if judged for row in rows_of(judged)], columns=names)
+
+    # ids travel as text: pandas has no integer column with nulls
+    docs = documents.select(F.col("doc_id").cast("string"), label_code(F.col("lang")).alias("label"), "text")
+    return spread(docs).mapInPandas(run, f"doc_id string, label string, {schema}").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def label_sentences(documents: DataFrame, model: Model) -> DataFrame:
+    """doc_id, label (code the document's label names, or null), char_start,
+    char_end, whole, lang_code, confidence: a row for each sentence.  Null and
+    empty texts and texts without words give none."""
+    return _per_text(documents, model, lambda judged: judged, "char_start int, char_end int, whole boolean, lang_code string, confidence double")
+
+
+def runs(judged: list[tuple[int, int, bool, str, float]]) -> list[tuple[str, int, int, int, float]]:
+    """(language, start, end, sentences, confidence by length) of runs of one language."""
+    out: list[list] = []
+    for a, b, _, lang, conf in judged:
+        if not out or out[-1][0] != lang:
+            out.append([lang, a, b, 0, 0.0, 0])
+        r = out[-1]
+        r[2], r[3], r[4], r[5] = b, r[3] + 1, r[4] + conf * (b - a), r[5] + b - a
+    return [(r[0], r[1], r[2], r[3], r[4] / max(r[5], 1)) for r in out]
+
+
+def segments(documents: DataFrame, model: Model) -> DataFrame:
+    """Runs of sentences of one language: doc_id, label, lang_code, char_start,
+    char_end, n_sentences, confidence (mean by length)."""
+    return _per_text(documents, model, runs, "lang_code string, char_start int, char_end int, n_sentences int, confidence double")
+
+
+def main_language(judged: list[tuple[int, int, bool, str, float]]) -> list[tuple[str, float, list[str]]]:
+    size: dict[str, float] = {}
+    sure: dict[str, float] = {}
+    for a, b, _, lang, conf in judged:
+        size[lang] = size.get(lang, 0.0) + b - a
+        sure[lang] = sure.get(lang, 0.0) + conf * (b - a)
+    best = max(size, key=lambda k: (size[k], k))
+    return [(best, sure[best] / max(sum(size.values()), 1.0), sorted({x[3] for x in judged if x[2]}))]
+
+
+def document_languages(documents: DataFrame, model: Model) -> DataFrame:
+    """doc_id, label, lang_code (main language, by length), confidence (its share
+    of the text times the mean confidence) and whole_langs, the languages with a
+    whole sentence; a row for each text with sentences."""
+    return _per_text(documents, model, main_language, "lang_code string, confidence double, whole_langs array<string>")
 
 
 def wrong_labels(doc_rows: DataFrame) -> DataFrame:

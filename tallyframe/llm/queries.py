@@ -62,21 +62,21 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return source_mix.shares(*source_mix.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets")))
 
 
-def _sentences(spark: SparkSession, d: str) -> DataFrame:
+def _languages(spark: SparkSession, d: str) -> tuple[DataFrame, languages.Model]:
     docs = _t(spark, d, "documents")
-    return languages.label_sentences(docs, languages.train(docs))
+    return docs, languages.train(docs)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return languages.wrong_labels(languages.document_languages(_sentences(spark, d)))
+    return languages.wrong_labels(languages.document_languages(*_languages(spark, d)))
 
 
 def p10_documents(spark: SparkSession, d: str) -> DataFrame:
-    return languages.document_languages(_sentences(spark, d))
+    return languages.document_languages(*_languages(spark, d))
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
-    return languages.segments(_sentences(spark, d))
+    return languages.segments(*_languages(spark, d))
 
 
 _P6 = r"""

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.session import cut, spread
+
 #: Slots of a period: weights are multiples of its inverse.
 PERIOD = 10_000
 #: Tokens of a block, and records of a bucket within which offsets are summed in order.
@@ -37,8 +39,8 @@ def source_form(c: Column) -> Column:
 
 
 def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``documents`` (doc_id, source, text) as doc_id, source, n_tokens, counted
-    over whole texts; null and empty texts have none.  The vocabulary file must
+    """``documents`` (doc_id, source, text) as doc_id, source, n_tokens and h, a hash
+    of id and text, counted over whole texts; null and empty texts have none.  The vocabulary file must
     be at that path on every worker."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,9 +53,11 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
         enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for pdf in batches:
             n = [len(enc.encode_ordinary(t)) if isinstance(t, str) and t else 0 for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n_tokens": n})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n_tokens": n, "h": pdf["h"]})
 
-    return documents.select("doc_id", source_form(F.col("source")).alias("source"), "text").mapInPandas(run, "doc_id long, source string, n_tokens long")
+    # ids travel as text: pandas has no integer column with nulls
+    own = documents.select(F.col("doc_id").cast("string"), source_form(F.col("source")).alias("source"), "text", F.xxhash64("doc_id", "text").alias("h"))
+    return spread(own).mapInPandas(run, "doc_id string, source string, n_tokens long, h long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def in_period(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -139,12 +143,11 @@ def _targets(mix_targets: DataFrame) -> list[tuple[str, str, str, float, int]]:
 
 def offsets(counted: DataFrame, sizes: dict[str, tuple[int, int]]) -> DataFrame:
     """Adds ``start``: the tokens of the source before the record, in the order
-    of a hash of the id.  Sums run within buckets of about ``BUCKET_ROWS``
+    of their hashes.  Sums run within buckets of about ``BUCKET_ROWS``
     records, and over the buckets' totals, so no source is put in one task."""
     spark = counted.sparkSession
     n = spark.createDataFrame([(s, max(1, math.ceil(rows / BUCKET_ROWS))) for s, (_, rows) in sizes.items()] or [("", 1)], "source string, n_buckets long")
-    h = F.xxhash64("doc_id", F.lit("order"))
-    b = counted.join(F.broadcast(n), "source").withColumn("h", h).withColumn("bucket", F.pmod(F.col("h"), F.col("n_buckets")))
+    b = counted.join(F.broadcast(n), "source").withColumn("bucket", F.pmod(F.xxhash64("h"), F.col("n_buckets")))
     totals = b.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t"))
     before = totals.withColumn("before", F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
@@ -162,8 +165,6 @@ def mix(documents: DataFrame, mix_targets: DataFrame, block: int = BLOCK_TOKENS,
     are records of their own.  A mix without usable sources has no rows.  What
     is collected is one row per source of a mix and its token count.
     """
-    from tallyframe.session import cut
-
     spark = documents.sparkSession
     targets = _targets(mix_targets)
     wanted = spark.createDataFrame([(s,) for s in sorted({t[1] for t in targets})] or [("",)], "source string")

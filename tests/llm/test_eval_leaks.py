@@ -21,10 +21,10 @@ def test_notation_and_edges(spark):
         (2, "so " + " ".join(w[2:13]) + " unlike"),  # eleven words
         (3, "<b>THE</b> quick-BROWN fox’s oeu­vre ju-\nmps&nbsp;over 1234.50 LAZY\tdogs near Zürich whi le nobody watches"),
         (4, None), (5, ""), (6, "xx" + "".join(w[2:14])), (7, ITEM), (8, "a" * 300_000 + " " + " ".join(w[3:16]) + " " + "b " * 100_000),
-        (9, "bathe " + " ".join(w[3:14]) + "!"),  # the first word is no word of its own
+        (None, ITEM), (2**60 + 1, ITEM), (9, "bathe " + " ".join(w[3:14]) + "!"),  # the first word is no word of its own
     ]
     got = find(spark, docs, [(1, ITEM, "4,379.05 EUR"), (1, ITEM, "4,379.05 EUR"), (2, None, None), (3, "too short", ""), (None, ITEM, "x")])
-    assert set(got) == {(1, 1), (3, 1), (7, 1), (8, 1)}
+    assert set(got) == {(1, 1), (3, 1), (7, 1), (8, 1), (None, 1), (2**60 + 1, 1)}
     assert got[7, 1].n_words == len(w)
     text = dict(docs)[1]
     assert text[got[1, 1].char_start : got[1, 1].char_end].rstrip(".") == " ".join(w[2:14])

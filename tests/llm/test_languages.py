@@ -28,16 +28,16 @@ SCHEMA = "doc_id long, text string, lang string, lang_code string"
 
 def judged(spark, docs, train=None):
     model = languages.train(spark.createDataFrame(train if train is not None else docs, SCHEMA))
-    return languages.label_sentences(spark.createDataFrame(docs, SCHEMA), model).cache()
+    return spark.createDataFrame(docs, SCHEMA), model
 
 
 def test_held_out_accuracy_with_noisy_labels(spark):
     rnd = random.Random(2)
     s = judged(spark, corpus(rnd, 300), corpus(rnd, 400))
     truth = {d: x for d, _, _, x in corpus(random.Random(2), 300)}
-    got = {r.doc_id: r.lang_code for r in languages.document_languages(s).collect()}
+    got = {r.doc_id: r.lang_code for r in languages.document_languages(*s).collect()}
     assert sum(got[d] == x for d, x in truth.items()) >= 0.99 * len(truth)
-    assert {r.lang_code for r in s.select("lang_code").distinct().collect()} == set(PARTS)  # what sv labels hold is no language
+    assert {r.lang_code for r in languages.label_sentences(*s).select("lang_code").distinct().collect()} == set(PARTS)  # what sv labels hold is no language
 
 
 def test_cases(spark, rows):
@@ -46,17 +46,17 @@ def test_cases(spark, rows):
     docs = [
         (1, en(3), "en-GB", ""), (2, en(3), " English ", ""), (3, en(3), "ENG", ""), (4, en(3), "de", ""), (5, en(3), " ", ""), (6, en(3), None, ""), (7, en(3), "und", ""),
         (8, en(2) + " " + de(), "en", ""), (9, en(2) + "\n\n- " + fr() + "\n- " + de(), "mul", ""), (10, en(2) + " “" + de() + "”", "en", ""), (11, "12.5 | 13,00 EUR\n99 | 88 EUR 77 USD", "de", ""),
-        (12, None, None, ""), (13, "", "xx", ""), (14, de(3).upper(), "DE", ""), (15, de(400), "en", ""),
+        (12, None, None, ""), (13, "", "xx", ""), (14, de(3).upper(), "DE", ""), (15, de(400), "en", ""), (None, en(2), "de", ""), (None, fr(2), "de", ""),
     ]
     s = judged(spark, docs, corpus(random.Random(1), 400))
-    d = languages.document_languages(s)
-    assert rows(languages.wrong_labels(d)) == sorted([(4, "en"), (5, "en"), (6, "en"), (7, "en"), (8, "de"), (8, "en"), (9, "de"), (9, "en"), (9, "fr"), (15, "de")], key=lambda r: tuple(map(str, r)))
-    seg = [(r.lang_code, r.n_sentences) for r in languages.segments(s).where("doc_id = 8").orderBy("char_start").collect()]
+    d = languages.document_languages(*s)
+    assert rows(languages.wrong_labels(d)) == sorted([(4, "en"), (5, "en"), (6, "en"), (7, "en"), (8, "de"), (8, "en"), (9, "de"), (9, "en"), (9, "fr"), (15, "de"), (None, "en"), (None, "fr")], key=lambda r: tuple(map(str, r)))
+    seg = [(r.lang_code, r.n_sentences) for r in languages.segments(*s).where("doc_id = 8").orderBy("char_start").collect()]
     assert seg == [("en", 2), ("de", 1)]
-    assert all(0 < r.confidence <= 1 for r in languages.segments(s).collect())
+    assert all(0 < r.confidence <= 1 for r in languages.segments(*s).collect())
 
 
 def test_empty_tables(spark, rows):
     s = judged(spark, [], [])
-    assert rows(languages.document_languages(s)) == [] and rows(languages.segments(s)) == []
-    assert rows(judged(spark, [(1, "Some text without a model at all.", "en", "")], [])) == []
+    assert rows(languages.document_languages(*s)) == [] and rows(languages.segments(*s)) == []
+    assert rows(languages.label_sentences(*judged(spark, [(1, "Some text without a model at all.", "en", "")], []))) == []
