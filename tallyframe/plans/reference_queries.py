@@ -216,7 +216,7 @@ def diff_jaccard(s, d):
 @query("SELECT rule_id, loaded_at, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS n_added, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS n_removed, len(list_filter(a, lambda x: list_contains(b, x))) AS n_common FROM (SELECT rule_id, loaded_at, string_split(lower(name), ' ') AS a, string_split(lower(description), ' ') AS b FROM detection_rules)")
 def diff_lists(s, d):
     x = _t(s, d, "detection_rules").select("rule_id", "loaded_at", sim.list_difference(F.split(F.lower("name"), " "), F.split(F.lower("description"), " ")).alias("x"))
-    return x.select("rule_id", "loaded_at", F.size("x.added").alias("n_added"), F.size("x.removed").alias("n_removed"), F.size("x.common").alias("n_common"))
+    return x.select("rule_id", "loaded_at", *[F.size(f"x.{c}").cast("long").alias(f"n_{c}") for c in ("added", "removed", "common")])
 
 
 @query()
@@ -351,7 +351,7 @@ def erp_systems(s, d):
 
 # ---- detection ---------------------------------------------------------------
 
-_ROWS = """SELECT severity AS file, row_number() OVER (PARTITION BY severity ORDER BY finding_id, loaded_at, op, row_index, account) - 1 AS row_index, coalesce(account, '') AS Account, coalesce(field, '') AS Account_Type, coalesce(matched_value, '') AS Account_Name,
+_ROWS = """SELECT severity AS file, cast(row_number() OVER (PARTITION BY severity ORDER BY finding_id, loaded_at, op, row_index, account) - 1 AS bigint) AS row_index, coalesce(account, '') AS Account, coalesce(field, '') AS Account_Type, coalesce(matched_value, '') AS Account_Name,
 coalesce(cast(row_index AS varchar(20)), '') AS Amount, coalesce(substr(ts_text, 1, 7), '') AS Period, coalesce(evidence, '') AS Balance FROM grounded_findings"""
 _COLS = ["Account", "Account_Type", "Account_Name", "Amount", "Period", "Balance"]
 _SCAN = f"""WITH q AS ({_ROWS}), rl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY loaded_at DESC) AS rn FROM detection_rules WHERE rule_id IS NOT NULL) WHERE rn = 1 AND trim(pattern) <> ''),
@@ -429,13 +429,13 @@ def detect_monitors(s, d):
 @query("""WITH l AS (SELECT event_type AS file, event_id AS row_index, 'amount' AS field, value FROM events WHERE value <> 0 UNION ALL SELECT event_type, event_id, 'fx_rate', value / 100 FROM events WHERE value <> 0),
 r AS (SELECT file, field, abs(value) AS x, row_number() OVER (PARTITION BY file, field ORDER BY abs(value)) - 1 AS k, count(*) OVER (PARTITION BY file, field) AS n FROM l), m AS (SELECT file, field, x AS med FROM r WHERE n >= 3 AND k = n // 2)
 SELECT l.file, l.row_index, l.field, l.value, abs(value) / med AS ratio, CASE WHEN abs(value) / med > 10 AND abs(value) * med > 0.5 AND abs(value) * med < 2 THEN 'sign_reversal' ELSE 'balance_mismatch' END AS finding_type, CASE WHEN abs(value) / med > 10 THEN 'critical' ELSE 'high' END AS severity,
-CASE WHEN abs(value) / med > 10 AND abs(value) * med > 0.5 AND abs(value) * med < 2 THEN 0.95 WHEN abs(value) / med > 10 THEN 0.85 ELSE 0.75 END AS confidence FROM l JOIN m ON l.file = m.file AND l.field = m.field WHERE abs(value) / med > 10 OR (abs(value) / med < 0.1 AND l.field = 'fx_rate')""")
+CASE WHEN abs(value) / med > 10 AND abs(value) * med > 0.5 AND abs(value) * med < 2 THEN 0.95::DOUBLE WHEN abs(value) / med > 10 THEN 0.85 ELSE 0.75 END AS confidence FROM l JOIN m ON l.file = m.file AND l.field = m.field WHERE abs(value) / med > 10 OR (abs(value) / med < 0.1 AND l.field = 'fx_rate')""")
 def detect_outliers(s, d):
     e = _t(s, d, "events").select(F.col("event_type").alias("file"), F.col("event_id").alias("row_index"), F.col("value").alias("amount"), (F.col("value") / 100).alias("fx_rate"))
     return detection.numeric_outliers(e)
 
 
-_CAND = """SELECT 'all' AS file, row_index, rule_id, finding_type, severity, field, matched_value, account, confidence, row_number() OVER (PARTITION BY row_index ORDER BY finding_id, loaded_at, op, rule_id) AS candidate FROM grounded_findings WHERE row_index IS NOT NULL AND rule_id IS NOT NULL AND field IS NOT NULL AND matched_value IS NOT NULL"""
+_CAND = """SELECT 'all' AS file, row_index, rule_id, finding_type, severity, field, matched_value, account, confidence, cast(row_number() OVER (PARTITION BY row_index ORDER BY finding_id, loaded_at, op, rule_id) AS bigint) AS candidate FROM grounded_findings WHERE row_index IS NOT NULL AND rule_id IS NOT NULL AND field IS NOT NULL AND matched_value IS NOT NULL"""
 _TRI = f"""WITH c AS ({_CAND}), e AS (SELECT *, (severity = 'info' AND lower(field) NOT IN ('amount', 'balance')) OR (finding_type = 'custom' AND length(matched_value) <= 20 AND lower(field) IN ('account_name', 'description', 'name')) AS early FROM c),
 f AS (SELECT row_index, arg_min(rule_id, candidate) FILTER (WHERE NOT coalesce(early, false)) AS first FROM e GROUP BY 1)
 SELECT e.row_index, e.candidate, e.rule_id, CASE WHEN early THEN 'dismiss' WHEN e.rule_id <> first THEN 'dismiss' WHEN severity IN ('critical', 'high') AND lower(field) IN ('amount', 'balance') THEN 'escalate' ELSE 'keep' END AS decision FROM e JOIN f ON e.row_index = f.row_index"""
@@ -507,7 +507,7 @@ both("sql_intersect", "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_cust
 both("sql_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
 both("sql_semi", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
 both("sql_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-both("sql_rank", "SELECT o_custkey, o_orderkey, rnk FROM (SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rnk FROM orders) x WHERE rnk <= 3")
+both("sql_rank", "SELECT o_custkey, o_orderkey, rnk FROM (SELECT o_custkey, o_orderkey, cast(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS bigint) AS rnk FROM orders) x WHERE rnk <= 3")
 both("sql_lag", "SELECT o_orderkey, o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS delta FROM orders")
 both("sql_frame", "SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS s4 FROM events")
 both("sql_case_agg", "SELECT l_returnflag, sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END) AS open_qty, sum(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0 END) AS done_qty FROM lineitem GROUP BY l_returnflag")
