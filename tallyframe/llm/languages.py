@@ -37,12 +37,9 @@ SHARPNESS = 12.0
 LANGUAGES = """
 en eng english|de deu ger german|fr fra fre french|es spa spanish castilian|pt por portuguese|it ita italian|nl nld dut dutch flemish
 sv swe swedish|pl pol polish|da dan danish|no nor norwegian|nb nob bokmal|nn nno nynorsk|fi fin finnish|is isl ice icelandic|cs ces cze czech|sk slk slo slovak
-sl slv slovenian|hu hun hungarian|ro ron rum romanian|bg bul bulgarian|el ell gre greek|tr tur turkish|ru rus russian|uk ukr ukrainian|be bel belarusian
-sr srp serbian|hr hrv croatian|bs bos bosnian|mk mkd mac macedonian|sq sqi alb albanian|et est estonian|lv lav latvian|lt lit lithuanian|ga gle irish
-cy cym wel welsh|gd gla gaelic|ca cat catalan|gl glg galician|eu eus baq basque|la lat latin|mt mlt maltese|lb ltz luxembourgish|af afr afrikaans
-zh zho chi chinese|ja jpn japanese|ko kor korean|vi vie vietnamese|th tha thai|id ind indonesian|ms msa may malay|tl tgl tagalog filipino|hi hin hindi
-bn ben bengali|ur urd urdu|fa fas per persian|ar ara arabic|he heb hebrew|sw swa swahili|ta tam tamil|te tel telugu|ml mal malayalam|mr mar marathi
-gu guj gujarati|pa pan punjabi|ka kat geo georgian|hy hye arm armenian|az aze azerbaijani|kk kaz kazakh|uz uzb uzbek|eo epo esperanto
+sl slv slovenian|hu hun hungarian|ro ron rum romanian|bg bul bulgarian|el ell gre greek|tr tur turkish|ru rus russian|uk ukr ukrainian
+sr srp serbian|hr hrv croatian|et est estonian|lv lav latvian|lt lit lithuanian|ga gle irish|cy cym wel welsh|ca cat catalan|gl glg galician|eu eus baq basque|la lat latin
+zh zho chi chinese|ja jpn japanese|ko kor korean|vi vie vietnamese|th tha thai|id ind indonesian|ms msa may malay|hi hin hindi|ar ara arabic|he heb hebrew|fa fas per persian
 """
 
 
