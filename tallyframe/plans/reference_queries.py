@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import similarity as sim
-from tallyframe.operators import checks, cleaning, detection, fuzzy, graph, linking, profiling, reconcile
+from tallyframe.operators import checks, cleaning, detection, fuzzy, graph, linking, profiling, reconcile, templates, workbooks
 from tallyframe.sources import readers
 from tallyframe.streaming import incremental
 
@@ -497,6 +497,43 @@ def template_index(s, d):
     return _t(s, d, "template_hierarchy").groupBy("template_id").agg(F.count("*").alias("n_nodes"), F.count_if("is_calculated").alias("n_calculated"), F.max("level").alias("deepest"))
 
 
+@query()
+def template_recommend(s, d):
+    ix = template_index(s, d)
+    cat = F.when(F.col("n_calculated") > 3, "income_statement").otherwise("balance_sheet")
+    return templates.recommend(ix.select(F.col("template_id").alias("id"), F.col("template_id").alias("name"), cat.alias("category"), F.when(F.col("deepest") > 7, "manufacturing").otherwise("general").alias("industry"), F.col("n_nodes").alias("hierarchy_count")), "manufacturing", "pl")
+
+
+# ---- texts, files ----------------------------------------------------------------
+
+
+@query()
+def ingest_text_tables(s, d):
+    return readers.parse_tables(_t(s, d, "documents"), "doc_id", "text", "auto")
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    """What a scan would tell of the delivered files, taken as workbooks of one sheet."""
+    g = _t(s, d, "raw_feed_lines").groupBy("feed_id", "file_name").agg(F.count("*").alias("total_row_count"), F.sum(F.length("raw_line")).alias("file_size_bytes"))
+    sheet = F.struct(F.col("feed_id").alias("name"), F.col("total_row_count").cast("int").alias("row_count"), F.lit(1).alias("col_count"), F.lit(0).alias("formula_count"), F.lit(1).alias("anchor_row"), F.lit(1).alias("anchor_col"), F.lit(False).alias("has_pivot_table"), F.lit(False).alias("is_empty"))
+    return g.select(
+        "file_name", "file_size_bytes", "total_row_count", F.when(F.col("file_name").endswith(".txt"), "skipped").otherwise("ok").alias("scan_status"), F.lit(1).alias("sheet_count"), F.array("feed_id").alias("sheet_names"), F.array(sheet).alias("sheets"), F.lit(0).cast("long").alias("formula_count"), F.lit(0).alias("named_range_count"),
+        *[F.lit(False).alias(c) for c in ("has_macros", "has_pivot_tables", "has_sumif_pattern", "has_vlookup_pattern", "has_if_chain")], F.array().cast("array<string>").alias("dominant_formula_functions"),
+    )
+
+
+@query("""SELECT CASE WHEN skipped THEN 'Unknown' WHEN n > 500 THEN 'Data Extract' WHEN n > 10 THEN 'Reference Data' ELSE 'Academic/Exercise' END AS archetype, count(*) AS n_files
+FROM (SELECT file_name, count(*) AS n, file_name LIKE '%.txt' AS skipped FROM raw_feed_lines GROUP BY feed_id, file_name) GROUP BY 1""")
+def triage_archetypes(s, d):
+    return workbooks.archetype_counts(workbooks.classify(_files(s, d)))
+
+
+@query("""SELECT count(*) AS total_files, count(*) FILTER (WHERE NOT skipped) AS scanned, 0::BIGINT AS errors, count(*) FILTER (WHERE skipped) AS skipped, count(*) AS total_sheets, 0::BIGINT AS total_formulas, sum(n)::BIGINT AS total_rows, 0::BIGINT AS files_with_macros, 0::BIGINT AS files_with_pivots,
+min(z)::BIGINT AS min_file_size, max(z)::BIGINT AS max_file_size, avg(z)::DOUBLE AS avg_file_size, median(z)::DOUBLE AS median_file_size FROM (SELECT count(*) AS n, sum(length(raw_line)) AS z, file_name LIKE '%.txt' AS skipped FROM raw_feed_lines GROUP BY feed_id, file_name)""")
+def triage_summary(s, d):
+    return workbooks.triage_summary(_files(s, d))
+
+
 # ---- SQL ---------------------------------------------------------------------------
 
 both("sql_grouping_sets", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
