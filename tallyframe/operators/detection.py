@@ -19,6 +19,8 @@ from tallyframe.session import cut
 
 #: Sequential test (rates of clean and anomalous files, error rates, least rows), cap of findings.
 P0, P1, ALPHA, BETA, LEAST_ROWS, MOST_FINDINGS = 0.001, 0.01, 0.05, 0.05, 100, 500
+#: Row numbers of a block within which running sums are taken in order.
+BLOCK_ROWS = 1_000_000
 #: Feedback steps, bounds of confidence, dismissals that suppress.
 CONFIRMED_STEP, DISMISSED_STEP, LEAST_CONFIDENCE, MOST_CONFIDENCE, DISMISSALS = 0.05, 0.08, 0.05, 1.0, 3
 #: Columns that name an account, number columns, rate columns, monetary fields, name fields.
@@ -122,18 +124,32 @@ def scan(rows: DataFrame, rules: Sequence[Rule], columns: Sequence[str], least_c
     return found.join(F.broadcast(table), "__rule").select("file", "row_index", "rule_id", "rule_name", "finding_type", "severity", "field", "matched_value", "account", "confidence")
 
 
+def running_sums(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """Adds running sums along each file, the row itself included.  They run
+    within blocks of ``BLOCK_ROWS`` row numbers and over the blocks' totals, so
+    a file of any length is spread over many tasks."""
+    b = rows.withColumns({f"__v{i}": c for i, c in enumerate(sums.values())}).withColumn("__b", F.floor(F.col("row_index") / BLOCK_ROWS))
+    w = Window.partitionBy("file").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = b.groupBy("file", "__b").agg(*[F.sum(f"__v{i}").alias(f"__t{i}") for i in range(len(sums))])
+    before = totals.select("file", "__b", *[F.coalesce(F.sum(f"__t{i}").over(w), F.lit(0)).alias(f"__s{i}") for i in range(len(sums))])
+    inside = Window.partitionBy("file", "__b").orderBy("row_index").rowsBetween(Window.unboundedPreceding, 0)
+    j = b.select("*", *[F.sum(f"__v{i}").over(inside).alias(f"__i{i}") for i in range(len(sums))]).join(before, ["file", "__b"])
+    return j.select(*rows.columns, *[(F.col(f"__s{i}") + F.col(f"__i{i}")).alias(n) for i, n in enumerate(sums)])
+
+
 def sequential_test(rows: DataFrame) -> DataFrame:
     """Adds ``llr``, ``seen`` and ``decision`` to rows of (file, row_index, hit):
     Wald's test of the rate of hits along a file.  ``anomalous`` from the row on
     where the upper bound was first met, ``clean`` where the lower one was and
     the upper had not been; never before ``LEAST_ROWS`` rows."""
-    w = Window.partitionBy("file").orderBy("row_index").rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.col("hit"), math.log(P1 / P0)).otherwise(math.log((1 - P1) / (1 - P0)))
-    r = rows.withColumn("llr", F.sum(step).over(w)).withColumn("seen", F.count("*").over(w))
+    r = running_sums(rows, {"llr": step, "seen": F.lit(1).cast("long")})
     ripe = F.col("seen") >= LEAST_ROWS
-    up = F.min(F.when(ripe & (F.col("llr") >= math.log((1 - BETA) / ALPHA)), F.col("row_index"))).over(w)
-    down = F.min(F.when(ripe & (F.col("llr") <= math.log(BETA / (1 - ALPHA))), F.col("row_index"))).over(w)
-    return r.withColumn("__u", up).withColumn("__d", down).withColumn("decision", F.when(F.col("__u").isNotNull() & (F.col("__d").isNull() | (F.col("__u") < F.col("__d"))), "anomalous").when(F.col("__d").isNotNull(), "clean").otherwise("undecided")).drop("__u", "__d")
+    met = r.where(ripe).groupBy("file").agg(
+        F.min(F.when(F.col("llr") >= math.log((1 - BETA) / ALPHA), F.col("seen"))).alias("__u"), F.min(F.when(F.col("llr") <= math.log(BETA / (1 - ALPHA)), F.col("seen"))).alias("__d")
+    )
+    first = F.when(F.col("__u").isNotNull() & (F.col("__d").isNull() | (F.col("__u") < F.col("__d"))), F.struct(F.col("__u").alias("at"), F.lit("anomalous").alias("d"))).when(F.col("__d").isNotNull(), F.struct(F.col("__d").alias("at"), F.lit("clean").alias("d")))
+    return r.join(met.select("file", first.alias("__f")), "file", "left").withColumn("decision", F.when(F.col("seen") >= F.col("__f.at"), F.col("__f.d")).otherwise("undecided")).drop("__f")
 
 
 def certificates(tested: DataFrame) -> DataFrame:
@@ -149,10 +165,9 @@ def within_limits(rows: DataFrame, findings: DataFrame, most: int = MOST_FINDING
     certified clean, and only rows before which there were fewer than ``most``."""
     n = findings.groupBy("file", "row_index").agg(F.count("*").alias("n"))
     marked = rows.select("file", "row_index").join(n, ["file", "row_index"], "left").select("file", "row_index", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("hit"))
-    tested = sequential_test(marked)
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("row_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    earlier = F.lag("decision", 1, "undecided").over(Window.partitionBy("file").orderBy("row_index"))
-    reached = tested.withColumn("b", before).withColumn("e", earlier).where((F.col("b") < most) & (F.col("e") != "clean")).select("file", "row_index")
+    tested = sequential_test(running_sums(marked, {"upto": F.col("n")}))
+    stop = tested.where("decision = 'clean'").groupBy("file").agg(F.min("seen").alias("stop"))
+    reached = tested.join(stop, "file", "left").where((F.col("upto") - F.col("n") < most) & (F.col("stop").isNull() | (F.col("seen") <= F.col("stop")))).select("file", "row_index")
     return findings.join(reached, ["file", "row_index"], "left_semi")
 
 
@@ -216,18 +231,20 @@ def numeric_outliers(rows: DataFrame, columns: Sequence[str] | None = None) -> D
     of values over ten times the upper median of their column's absolute values
     (with a product near 1 a rate turned over), and of rates under a tenth.
     Zeros and other texts do not count; columns with fewer than three values are
-    left out.  The median is taken exactly, by rank in value order over counts of
-    distinct values."""
+    left out.  The median is exact."""
     names = list(columns) if columns else [c for c in rows.columns if c not in ("file", "row_index") and any(w in c.lower() for w in NUMERIC_WORDS)]
     if not names:
         return rows.sparkSession.createDataFrame([], "file string, row_index long, field string, value double, ratio double, finding_type string, severity string, confidence double")
     number = lambda c: F.replace(F.col(f"`{c}`").cast("string"), F.lit(","), F.lit("")).try_cast("double")
     long = rows.select("file", "row_index", F.inline(F.array(*[F.struct(F.lit(c).alias("field"), number(c).alias("value")) for c in names]))).where("value is not null and value != 0")
-    # the upper median is the value at rank n div 2, which a discrete percentile a little above one half gives
-    counts = long.groupBy("file", "field", F.abs("value").alias("x")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy("file", "field").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum("c").over(Window.partitionBy("file", "field"))
-    med = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", n).where("n >= 3 and upto > floor(n / 2)").groupBy("file", "field").agg(F.min("x").alias("median"))
+    # the median's rank is first found among buckets of close values, then within its bucket
+    counts = long.groupBy("file", "field", F.abs("value").alias("x")).agg(F.count("*").alias("c")).withColumn("k", F.floor(F.log2("x") * 256))
+    all_ = Window.partitionBy("file", "field")
+    buckets = counts.groupBy("file", "field", "k").agg(F.sum("c").alias("t"))
+    ranked = buckets.withColumn("n", F.sum("t").over(all_)).withColumn("before", F.coalesce(F.sum("t").over(all_.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    mid = ranked.where("n >= 3 and before <= floor(n / 2) and before + t > floor(n / 2)").select("file", "field", "k", "n", "before")
+    upto = F.col("before") + F.sum("c").over(all_.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    med = counts.join(mid, ["file", "field", "k"]).withColumn("upto", upto).where("upto > floor(n / 2)").groupBy("file", "field").agg(F.min("x").alias("median"))
     j = long.join(med, ["file", "field"]).withColumn("ratio", F.abs("value") / F.col("median"))
     turned = (F.abs("value") * F.col("median") > 0.5) & (F.abs("value") * F.col("median") < 2.0)
     big, small = F.col("ratio") > 10, (F.col("ratio") < 0.1) & F.lower("field").isin(*RATE_COLUMNS)

@@ -29,6 +29,14 @@ def test_sequential_test(spark):
     assert certificate(spark, [False] * 400 + [True] * 50).decision == "clean"
 
 
+def test_running_sums_do_not_depend_on_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(f, i, (i * 7) % 5) for f in "ab" for i in range(57)], "file string, row_index long, n long")
+    for block in (1_000_000, 10):
+        monkeypatch.setattr(detection, "BLOCK_ROWS", block)
+        for r in detection.running_sums(df, {"s": F.col("n"), "k": F.lit(1)}).collect():
+            assert (r.s, r.k) == (sum((i * 7) % 5 for i in range(r.row_index + 1)), r.row_index + 1)
+
+
 def test_limits(spark):
     data = spark.createDataFrame([("f", i) for i in range(400)], "file string, row_index long")
     found = data.where("row_index < 300").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
