@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from tallyframe.session import spread
 
 #: Hash buckets of n-grams, and lengths of n-grams.
-BUCKETS, NGRAMS = 1 << 15, (1, 2, 3, 4)
+BITS, NGRAMS = 15, (1, 2, 3, 4)
+BUCKETS = 1 << BITS
 #: Bound of the training sample, in documents for each label.
 DOCS_PER_LABEL = 3000
 #: A label is learned if at least this share of its sentences is borne out by the other half.
@@ -114,7 +115,7 @@ def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             if n in NGRAMS:
                 mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                 ok = left >= n
-                buckets.append(((mixed >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)[ok])
+                buckets.append((mixed >> np.uint64(64 - BITS)).astype(np.int32)[ok])
                 owners.append(owner[ok])
     return np.concatenate(buckets), np.concatenate(owners)
 
@@ -135,7 +136,11 @@ class Model:
         forms = [_letters(t) for t in texts]
         buckets, owner = hashed(forms)
         n = np.bincount(owner, minlength=len(forms)).astype(float)
-        out = np.stack([np.bincount(owner, weights=self.logp[buckets, k], minlength=len(forms)) for k in range(len(self.langs))], axis=1) if self.langs else np.zeros((len(forms), 0))
+        out = np.zeros((len(forms), len(self.langs)))
+        if self.langs and len(owner):
+            # owners rise within each length of n-gram: sums over runs of one owner
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            np.add.at(out, owner[starts], np.add.reduceat(self.logp[buckets], starts, axis=0))
         return out, n
 
 
