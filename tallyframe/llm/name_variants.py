@@ -6,7 +6,9 @@ index; the substrings of a name that could be such a segment are looked up, and
 what meets is verified with a banded edit distance.  Names alone say little in
 a large register, so a segment is looked up together with a place (postcode,
 house, town, phone or web name), which also keeps postings short however
-common a syllable is.
+common a syllable is.  A town is shared by so many that segments of words meet
+too often there: its words meet by their deletions instead, which lose nothing
+either and meet hardly any but near words.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
@@ -24,8 +26,8 @@ from tallyframe.session import cut, spread
 
 #: Edits within a whole name and within one of its words.
 NAME_EDITS, WORD_EDITS = 2, 1
-#: Letters of a word from which its segments are looked up in a town, and from which two edits are allowed within it in rarer places.
-TOWN_WORD, LONG_WORD = 7, 8
+#: Letters of a word from which two edits are allowed within it, and up to which words meet in a town by deletions (both ways for words at the border).
+LONG_WORD, DELETED_WORD = 8, 26
 
 PARSED = StructType([
     StructField("core", ArrayType(StringType())), StructField("given", StringType()), StructField("person", BooleanType()), StructField("activity", StringType()),
@@ -73,7 +75,7 @@ def places(r: dict) -> tuple[list[str], list[str]]:
     if r["zip"]:
         out.append("z" + "".join(sorted(r["zip"])))  # transposed figures meet
     if r["house"] and r["road"]:
-        out.append(f"h{r['house']} {r['road'][:3]}")
+        out.append(f"h{r['house']} {r['road'][:2]}")
     if r["phone"]:
         out.append("p" + r["phone"])
     if r["web"]:
@@ -96,9 +98,9 @@ def _crossed(places_: list[str], keys: np.ndarray) -> np.ndarray:
 
 
 def lookup_keys(r: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys and probe keys of a parsed record.  Whole names and long words
-    are looked up in every place; the segments of short words, or of words cut for
-    two edits, say too little for a whole town."""
+    """Index keys and probe keys of a parsed record.  Whole names are looked up in
+    every place, words in every place but the town, where ``town_words`` has all
+    but the longest."""
     rare, town = places(r)
     ix: set[tuple] = set()
     pr: set[tuple] = set()
@@ -108,18 +110,19 @@ def lookup_keys(r: dict) -> tuple[np.ndarray, np.ndarray]:
         ix |= {("n", *x) for x in index_keys(forms[0], k)}
         for f in forms:
             pr |= {("n", *x) for x in probe_keys(f, NAME_EDITS if len(f) >= 8 else WORD_EDITS)}
-    short_ix: set[tuple] = set()
-    short_pr: set[tuple] = set()
+    word_ix: set[tuple] = set()
+    word_pr: set[tuple] = set()
     for w in r["core"]:
         if len(w) >= 4 and not w.endswith("."):
-            own_ix, own_pr = (ix, pr) if len(w) >= TOWN_WORD else (short_ix, short_pr)
+            # of two words that are near, both are this long or both have deletions
+            own_ix, own_pr = (ix, pr) if len(w) > DELETED_WORD - NAME_EDITS else (word_ix, word_pr)
             own_ix |= {("w", *x) for x in index_keys(w, WORD_EDITS)}
             own_pr |= {("w", *x) for x in probe_keys(w, WORD_EDITS)}
             if len(w) >= LONG_WORD:  # a swap of two letters counts as two edits here
-                short_ix |= {("W", *x) for x in index_keys(w, NAME_EDITS)}
-                short_pr |= {("W", *x) for x in probe_keys(w, NAME_EDITS)}
+                own_ix |= {("W", *x) for x in index_keys(w, NAME_EDITS)}
+                own_pr |= {("W", *x) for x in probe_keys(w, NAME_EDITS)}
     out = []
-    for every, some in ((ix, short_ix), (pr, short_pr)):
+    for every, some in ((ix, word_ix), (pr, word_pr)):
         out.append(np.concatenate([_crossed(rare, _hashes(every | some)), _crossed(town, _hashes(every))]))
     return out[0], out[1]
 
@@ -165,12 +168,44 @@ def classes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b), a < b, of contents that share a place and a segment of the name."""
+    """(a, b), a < b, of contents that share a place and whose names, or two of
+    whose longer words, are near."""
     keyed = cut(spread(classes).select("cid", _lookup(F.struct(*FIELDS)).alias("k")))
     ix = keyed.select(F.col("cid").alias("a"), F.explode("k.ix").alias("key"))
     pr = keyed.select(F.col("cid").alias("b"), F.explode("k.pr").alias("key"))
     met = ix.join(pr, "key").where("a != b")
-    return verified(classes, met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return verified(classes, met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).unionByName(town_words(classes)).distinct()
+
+
+def near_words(words: DataFrame) -> DataFrame:
+    """(u, v), u <= v, of all distinct ``word``s of at most ``DELETED_WORD``
+    letters within the edits allowed in a word.  Words k edits apart have in
+    common what is left after at most k deletions in each."""
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, 1, i - 1), F.substring(w, i + 1, F.length(w))))
+    own = words.where(F.length("word") <= DELETED_WORD).select("word").distinct()
+    once = own.withColumn("one", less(F.col("word")))
+    left = F.concat(F.array("word"), F.col("one"), F.when(F.length("word") >= LONG_WORD, F.flatten(F.transform("one", less))).otherwise(F.array().cast("array<string>")))
+    keyed = once.select("word", F.explode(F.array_distinct(F.transform(left, lambda x: F.xxhash64(x)))).alias("key"))
+    met = keyed.withColumnRenamed("word", "u").join(keyed.withColumnRenamed("word", "v"), "key").where("u < v").select("u", "v").distinct()
+    return met.where(_near_word(F.col("u"), F.col("v"))).unionByName(own.select(F.col("word").alias("u"), F.col("word").alias("v")))
+
+
+def town_words(classes: DataFrame) -> DataFrame:
+    """(a, b), a < b, of contents in one town with near words."""
+    at = cut(classes.where("town != ''").select("cid", F.substring("town", 1, 5).alias("town"), F.explode(F.array_distinct(_words())).alias("word")))
+    a, b = (at.withColumnsRenamed({"cid": x, "word": w}) for x, w in (("a", "u"), ("b", "v")))
+    met = a.join(cut(near_words(at)), "u").join(b, ["town", "v"]).where("a != b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _words() -> Column:
+    """The longer words of a name that are written out."""
+    return F.filter("core", lambda w: (F.length(w) >= 4) & ~w.endswith("."))
+
+
+def _near_word(x: Column, y: Column) -> Column:
+    near = lambda k: F.levenshtein(x, y, k) >= 0
+    return near(WORD_EDITS) | ((F.least(F.length(x), F.length(y)) >= LONG_WORD) & near(NAME_EDITS))
 
 
 def verified(classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -178,9 +213,9 @@ def verified(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     words are within the edits allowed; checked in the JVM, whose edit distance
     keeps to the band."""
     words = F.transform("core", lambda w: F.regexp_replace(w, r"\.", ""))
-    flat = classes.select("cid", F.array_join(words, "").alias("n"), F.array_join(F.reverse(words), "").alias("r"), F.filter("core", lambda w: (F.length(w) >= 4) & ~w.endswith(".")).alias("w"))
+    flat = classes.select("cid", F.array_join(words, "").alias("n"), F.array_join(F.reverse(words), "").alias("r"), _words().alias("w"))
     a, b = (flat.withColumnsRenamed({"cid": x, "n": f"n{x}", "r": f"r{x}", "w": f"w{x}"}) for x in "ab")
     near = lambda x, y, k: F.levenshtein(x, y, k) >= 0
     both = pairs.join(a, "a").join(b, "b")
-    word = F.exists("wa", lambda x: F.exists("wb", lambda y: near(x, y, WORD_EDITS) | ((F.least(F.length(x), F.length(y)) >= LONG_WORD) & near(x, y, NAME_EDITS))))
+    word = F.exists("wa", lambda x: F.exists("wb", lambda y: _near_word(x, y)))
     return both.where(near(F.col("na"), F.col("nb"), NAME_EDITS) | near(F.col("na"), F.col("rb"), NAME_EDITS) | word).select("a", "b")

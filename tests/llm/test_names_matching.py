@@ -132,3 +132,32 @@ def test_label_model_learns_from_votes_alone():
     pats, inv, count = np.unique(v, axis=0, return_inverse=True, return_counts=True)
     q = entity_match.LabelModel(sizes).fit(pats, count.astype(float))[inv.ravel()]
     assert ((q > 0.5) == y).mean() > 0.98
+
+
+def _contents(spark, data):
+    """Contents of (cid, core, town); other fields are null."""
+    none = dict.fromkeys(name_variants.FIELDS)
+    rows = [(c, *{**none, "core": core, "person": False, "town": t}.values()) for c, core, t in data]
+    types = {"core": "array<string>", "person": "boolean"}
+    return spark.createDataFrame(rows, "cid long, " + ", ".join(f"{f} {types.get(f, 'string')}" for f in name_variants.FIELDS))
+
+
+def test_words_meet_in_a_town(spark):
+    rnd = random.Random(8)
+
+    def change(w, n):
+        for _ in range(n):
+            i = rnd.randrange(len(w))
+            w = w[:i] + rnd.choice(["", "x", w[i] + "y"]) + w[i + 1 :]
+        return w
+
+    data = [(1, ["hulim", "drer."], "oldham"), (2, ["hulin", "vorbek"], "oldham"), (3, ["hulim", "other"], "farham"), (4, ["mo", "abcd."], "oldham")]
+    for i in range(10, 150):
+        size = rnd.choice([4, 5, 6, 7, 8, 9, 24, 25, 26, 27, 40])
+        w = "".join(rnd.choice("abc") for _ in range(size))
+        data += [(2 * i, [w, f"rest{i}zzzz"], rnd.choice(["oldham", "farham"])), (2 * i + 1, ["quo" * (i % 3 + 1), change(w, rnd.randint(0, 2))], rnd.choice(["oldham", "farham"]))]
+    near = lambda x, y: levenshtein(x, y) <= (2 if min(len(x), len(y)) >= 8 else 1)
+    long_ = lambda c: [w for w in c if len(w) >= 4 and not w.endswith(".")]
+    want = {(a, b) for a, x, s in data for b, y, t in data if a < b and s == t and any(near(u, v) for u in long_(x) for v in long_(y))}
+    got = {(r.a, r.b) for r in name_variants.candidate_pairs(_contents(spark, data)).collect()}
+    assert (1, 2) in want and want <= got
