@@ -109,18 +109,21 @@ class Items:
         stream = fold(text)
         if self.empty or not stream:
             return []
-        hits: dict[tuple[int, int], int] = {}
+        hits: set[tuple[int, int, int]] = set()
         answers: set[int] = set()
         for last, (size, places) in self.automaton.iter(stream):
             for me, at in places:
                 if at < 0:
                     answers.add(me)
                 else:
-                    # hits of one passage share their shift
-                    hits.setdefault((me, last - size + 1 - at), last - size + 1)
+                    hits.add((last - size + 1, me, last - size + 1 - at))
         best: dict[int, tuple[int, int, int]] = {}
         place = None
-        for (me, shift), begin in sorted(hits.items(), key=lambda x: x[1]):
+        done: dict[tuple[int, int], int] = {}
+        for begin, me, shift in sorted(hits):
+            # hits of one passage share their shift, but so do passages parted by a change of equal length
+            if begin < done.get((me, shift), 0):
+                continue
             _, own, bounds = self.streams[me]
             i, j = begin - shift, begin
             while i > 0 and j > 0 and own[i - 1] == stream[j - 1]:
@@ -128,6 +131,7 @@ class Items:
             k, m = begin - shift, begin
             while k < len(own) and m < len(stream) and own[k] == stream[m]:
                 k, m = k + 1, m + 1
+            done[me, shift] = m
             # whole words within, that begin and end where the document's words do
             inside = [x for x, b in enumerate(bounds) if i <= b <= k]
             if len(inside) - 1 < self.least:

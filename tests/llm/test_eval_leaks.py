@@ -59,3 +59,17 @@ def test_against_brute_force(spark, monkeypatch):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     i = spark.createDataFrame(items, "item_id long, item_text string, answer string")
     assert {(r.doc_id, r.item_id) for r in eval_leaks.find_leaks(d, i, block_chars=2000).collect()} == want
+
+
+def test_passages_parted_by_a_change_of_equal_length(spark):
+    rnd = random.Random(7)
+    w = [f"{rnd.choice(WORDS)}{rnd.choice(WORDS)}" for _ in range(60)]
+
+    def changed(*at):
+        return " ".join("q" + x[1:] if i in at else x for i, x in enumerate(w))
+
+    docs = [(1, changed(8)), (2, changed(8, 20, 33)), (3, changed(*range(8, 60, 9))), (4, "xy " + changed(7, 19, 59))]
+    got = find(spark, docs, [(1, " ".join(w), None)])
+    assert {d: r.n_words for (d, _), r in got.items()} == {1: 51, 2: 26, 4: 39}
+    text = dict(docs)[2]
+    assert text[got[2, 1].char_start : got[2, 1].char_end] == " ".join(w[34:])
