@@ -27,8 +27,8 @@ from tallyframe.session import cut
 
 #: The matching functions and the number of their opinions.
 FUNCTIONS = {"name": 5, "given": 5, "activity": 4, "number": 4, "street": 4, "zip": 4, "town": 3, "phone": 4, "web": 3, "legal": 3}
-#: An exact place is evidence by itself only while at most so many contents share it; beyond it (an office block, a call centre) names decide, by the segment join.
-TELLING = 50
+#: Members of a group that are paired within one task; larger groups are salted.
+CELL = 500
 #: Pairs with at least this posterior are matches.
 CONFIDENT = 0.5
 
@@ -213,11 +213,22 @@ class LabelModel:
         return q
 
 
+def pairs_within(keyed: DataFrame) -> DataFrame:
+    """(a, b, ca, cb), a < b, of every two ``cid`` with one ``key``, and their
+    ``c``; repeated if they share several.  Members of a large group are spread
+    over cells, each of which meets each, so no task pairs a whole group."""
+    size = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    k = keyed.join(size, "key").withColumn("cells", F.ceil(F.col("n") / CELL)).withColumn("cell", F.pmod(F.xxhash64("cid"), F.col("cells")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+    a = k.select("key", F.col("cid").alias("a"), F.col("c").alias("ca"), F.col("cell").alias("x"), every.alias("y"))
+    b = k.select("key", F.col("cid").alias("b"), F.col("c").alias("cb"), F.col("cell").alias("y"), every.alias("x"))
+    return a.join(b, ["key", "x", "y"]).where("a < b").select("a", "b", "ca", "cb")
+
+
 def exact_place_pairs(classes: DataFrame) -> DataFrame:
     """(a, b), a < b, of contents that agree in house, road and town or postcode
     together with phone or web name, or in phone and web name, whatever their
-    names.  A combination shared by more than ``TELLING`` contents says nothing
-    of a pair and gives none."""
+    names and however many share them."""
     have = lambda *c: F.concat_ws("\u0001", *c)
     ok = lambda *c: F.forall(F.array(*c), lambda x: x.isNotNull())
     zip_ = F.concat_ws("", F.array_sort(F.split("zip", "")))
@@ -226,9 +237,7 @@ def exact_place_pairs(classes: DataFrame) -> DataFrame:
         cols = [F.col(x) if x != "zip" else F.when(F.col("zip").isNotNull(), zip_) for x in c]
         combos.append(F.when(ok(*cols), F.xxhash64(F.lit(tag), have(*cols))))
     keyed = classes.select("cid", F.explode(F.array_compact(F.array(*combos))).alias("key"))
-    few = keyed.groupBy("key").agg(F.count("*").alias("n")).where(f"n between 2 and {TELLING}").select("key")
-    k = keyed.join(few, "key", "left_semi")
-    return k.withColumnRenamed("cid", "a").join(k.withColumnRenamed("cid", "b"), "key").where("a < b").select("a", "b").distinct()
+    return pairs_within(keyed.withColumn("c", F.lit(1.0))).select("a", "b").distinct()
 
 
 def voted(classes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.llm import entity_match, name_variants, names
 
@@ -161,3 +162,10 @@ def test_words_meet_in_a_town(spark):
     want = {(a, b) for a, x, s in data for b, y, t in data if a < b and s == t and any(near(u, v) for u in long_(x) for v in long_(y))}
     got = {(r.a, r.b) for r in name_variants.candidate_pairs(_contents(spark, data)).collect()}
     assert (1, 2) in want and want <= got
+
+
+def test_places_shared_by_many(spark, monkeypatch):
+    monkeypatch.setattr(entity_match, "CELL", 20)
+    c = _contents(spark, [(i, [f"n{i}"], None) for i in range(120)])
+    c = c.withColumns({"house": F.lit("12"), "road": F.lit("markle"), "phone": F.lit("9664294536")})
+    assert sorted((r.a, r.b) for r in entity_match.exact_place_pairs(c).collect()) == [(a, b) for a in range(120) for b in range(a + 1, 120)]
