@@ -109,28 +109,40 @@ class Part:
     available: int
     slots: int
     blocks: int
+    block: int
 
 
 def plan(targets: list[tuple[str, str, str, float, int]], sizes: dict[str, int], block: int = BLOCK_TOKENS, period: int = PERIOD) -> tuple[list[Part], dict[str, list[str]]]:
     """Parts and period orders of all mixes.  ``targets``: mix, source in
     comparable form, source as written, share, most repeats.  Sources without
     tokens get nothing and the others keep their proportions.  A mix is as long
-    as its scarcest source allows: all others then meet their share exactly."""
+    as its scarcest source allows: all others then meet their share exactly.
+    Blocks are of at most ``block`` tokens, in each mix of such a size that the
+    scarcest source is used to its end and every other has a block; last blocks may be partial."""
     parts, orders = [], {}
     for mix in sorted({t[0] for t in targets}):
         own = [t for t in targets if t[0] == mix]
         live = {t[1]: t[3] for t in own if t[3] > 0 and t[4] > 0 and sizes.get(t[1], 0) > 0}
         slots = in_period(live, period) if live else {}
         orders[mix] = pfair(slots) if slots else []
+        total = {t[1]: t[4] * sizes.get(t[1], 0) for t in own}
+        scarcest = min((s for s, n in slots.items() if n), key=lambda s: (total[s] / slots[s], s), default=None)
+        size = block
+        if scarcest is not None:
+            # blocks of the scarcest source: whole ones, and enough for each source's first block to fall due
+            fewest = -(-slots[scarcest] * -(-period // min(n for n in slots.values() if n)) // period)
+            size = -(-total[scarcest] // -(-total[scarcest] // block))
+            if total[scarcest] // size < fewest:
+                size = max(1, total[scarcest] // fewest)
         # slots until some source has used its blocks up
-        limit = {t[1]: t[4] * sizes.get(t[1], 0) // block for t in own}
+        limit = {s: -(-n // size) for s, n in total.items()}
         most = min(((limit[s] * period) // n for s, n in slots.items() if n), default=0)
         full, rest = divmod(most, period)
         tail = orders[mix][:rest]
         for _, s, label, share, cap in own:
             n = slots.get(s, 0)
             blocks = min(full * n + tail.count(s), limit[s])
-            parts.append(Part(mix, s, label, share, cap, sizes.get(s, 0), n, blocks))
+            parts.append(Part(mix, s, label, share, cap, sizes.get(s, 0), n, blocks, size))
     return parts, orders
 
 
@@ -172,7 +184,7 @@ def mix(documents: DataFrame, mix_targets: DataFrame, block: int = BLOCK_TOKENS,
     sizes = {r.source: (r.t, r.n) for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}
     parts, orders = plan(targets, {s: t for s, (t, _) in sizes.items()}, block, period)
     used = [p for p in parts if p.blocks]
-    table = spark.createDataFrame([(p.mix, p.source, p.available, p.slots, p.blocks, -(-p.blocks * block // p.available)) for p in used] or [("", "", 1, 1, 0, 1)], "mix_name string, source string, size long, slots long, blocks long, repeats long")
+    table = spark.createDataFrame([(p.mix, p.source, p.available, p.slots, p.blocks, min(p.max_repeats, -(-p.blocks * p.block // p.available)), p.block) for p in used] or [("", "", 1, 1, 0, 1, 1)], "mix_name string, source string, size long, slots long, blocks long, repeats long, block_tokens long")
     place: list[tuple[str, str, int, int]] = []
     for m, order in orders.items():
         seen: dict[str, int] = {}
@@ -183,7 +195,7 @@ def mix(documents: DataFrame, mix_targets: DataFrame, block: int = BLOCK_TOKENS,
     at = spark.createDataFrame(pd.DataFrame(place or [("", "", 0, 0)], columns=["mix_name", "source", "k", "at"]), "mix_name string, source string, k long, at long")
     rows = offsets(counted, sizes).join(F.broadcast(table), "source")
     rows = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repeats") - 1)))
-    rows = rows.withColumn("start", F.col("repeat") * F.col("size") + F.col("start")).withColumn("block", F.floor(F.col("start") / F.lit(block))).where("block < blocks")
+    rows = rows.withColumn("start", F.col("repeat") * F.col("size") + F.col("start")).withColumn("block", F.floor(F.col("start") / F.col("block_tokens"))).where("block < blocks")
     rows = rows.withColumn("k", F.col("block") % F.col("slots"))
     placed = rows.join(F.broadcast(at) if len(place) <= 200_000 else at, ["mix_name", "source", "k"])
     slot = F.floor(F.col("block") / F.col("slots")) * F.lit(period) + F.col("at")

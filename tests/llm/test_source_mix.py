@@ -90,3 +90,14 @@ def test_tokens_round_trip(spark):
     d = spark.createDataFrame([(i, "s", x, "", "") for i, x in enumerate(texts)], SCHEMA)
     assert [r.n_tokens for r in source_mix.count_tokens(d).orderBy("doc_id").collect()] == [len(enc.encode_ordinary(x)) for x in texts]
     assert all(enc.decode(enc.encode_ordinary(x)) == x for x in texts)
+
+
+def test_scarce_source_is_used_to_its_end(spark):
+    d = spark.createDataFrame([(0, "tiny", "word " * 40, "", ""), *[(i, "large", "word " * 50, "", "") for i in range(1, 200)]], SCHEMA)
+    t = spark.createDataFrame([("m", "tiny", 0.1, 3), ("m", "large", 0.9, 2), ("n", "tiny", 0.002, 30), ("n", "large", 0.998, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    got = {(r.mix_name, r.source): r for r in source_mix.shares(*source_mix.mix(d, t)).collect()}
+    tiny, large = got["m", "tiny"], got["m", "large"]
+    assert tiny.n_records == tiny.repeats_used == 3 and tiny.tokens == 3 * tiny.available_tokens
+    assert abs(large.tokens - 9 * tiny.tokens) <= 60
+    # the last block of a source used up is partial
+    assert got["n", "large"].tokens == got["n", "large"].available_tokens and 1 <= got["n", "tiny"].repeats_used <= 30
