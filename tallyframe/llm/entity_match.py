@@ -259,14 +259,12 @@ def voted(classes: DataFrame, pairs: DataFrame) -> DataFrame:
 def closed(classes: DataFrame, good: DataFrame) -> DataFrame:
     """``good`` and the pairs that only a third content joins: two that both match
     it, have like names and contradict each other in nothing, as when one has
-    only an address and the other only a phone.  The third is the neighbour with
-    most matches.  Their confidence is the product of the two."""
+    only an address and the other only a phone.  Every third content counts; the
+    confidence is the greatest product of the two."""
     good = cut(good.select("a", "b", "pattern", "confidence"))
     ways = good.where("a != b").select("a", "b", "confidence").unionByName(good.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "confidence"))
-    degree = ways.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("d"))
-    hub = ways.join(degree, "b").groupBy("a").agg(F.max_by(F.struct("b", "confidence"), F.struct("d", "b")).alias("h")).select("a", F.col("h.b").alias("hub"), F.col("h.confidence").alias("c1"))
-    two = hub.join(ways.select(F.col("a").alias("hub"), "b", F.col("confidence").alias("c2")), "hub").where("a != b")
-    two = two.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(F.col("c1") * F.col("c2")).alias("confidence"))
+    two = pairs_within(ways.select(F.col("a").alias("key"), F.col("b").alias("cid"), F.col("confidence").alias("c")))
+    two = two.groupBy("a", "b").agg(F.max(F.col("ca") * F.col("cb")).alias("confidence"))
     two = cut(two.join(good.select("a", "b"), ["a", "b"], "left_anti"))
     # opinions in the order of FUNCTIONS: name, given, activity, number, street, zip, town, phone, web, legal
     fits = voted(classes, two.select("a", "b")).where(F.col("pattern").rlike("^[234][0-2][0-2][0-2][0-2][0-2][01]"))

@@ -169,3 +169,14 @@ def test_places_shared_by_many(spark, monkeypatch):
     c = _contents(spark, [(i, [f"n{i}"], None) for i in range(120)])
     c = c.withColumns({"house": F.lit("12"), "road": F.lit("markle"), "phone": F.lit("9664294536")})
     assert sorted((r.a, r.b) for r in entity_match.exact_place_pairs(c).collect()) == [(a, b) for a in range(120) for b in range(a + 1, 120)]
+
+
+def test_pairs_through_any_third(spark):
+    ids = [1, 2, 3, 10, 20, *range(11, 16), *range(21, 26)]
+    c = _contents(spark, [(i, ["hulimbar"], "oldham") for i in ids])
+    links = [(1, 3), (2, 3), (1, 10), (2, 20), *((10, i) for i in range(11, 16)), *((20, i) for i in range(21, 26))]
+    good = spark.createDataFrame([(a, b, "4" + "0" * 9, 0.9) for a, b in links], "a long, b long, pattern string, confidence double")
+    beside = lambda x: {b if a == x else a for a, b in links if x in (a, b)}
+    want = {(a, b) for a in ids for b in ids if a < b and ((a, b) in links or beside(a) & beside(b))}
+    got = {(r.a, r.b): r.confidence for r in entity_match.closed(c, good).collect()}
+    assert set(got) == want and abs(got[1, 2] - 0.81) < 1e-9
