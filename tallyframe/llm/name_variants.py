@@ -28,6 +28,8 @@ from tallyframe.session import cut, spread
 NAME_EDITS, WORD_EDITS = 2, 1
 #: Letters of a word from which two edits are allowed within it, and up to which words meet in a town by deletions (both ways for words at the border).
 LONG_WORD, DELETED_WORD = 8, 26
+#: Letters below which whole names meet by deletions: their segments would be a letter or two.
+SHORT_NAME = 8
 
 PARSED = StructType([
     StructField("core", ArrayType(StringType())), StructField("given", StringType()), StructField("person", BooleanType()), StructField("activity", StringType()),
@@ -69,6 +71,15 @@ def probe_keys(text: str, k: int, longer: bool = False) -> list[tuple[int, int,
     return out if len(text) > k else [(len(text), -1, text)]
 
 
+def deletion_keys(text: str, k: int) -> set[str]:
+    """What is left of a text after at most ``k`` deletions."""
+    out = last = {text}
+    for _ in range(k):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        out = out | last
+    return out
+
+
 def places(r: dict) -> tuple[list[str], list[str]]:
     """Places that few share, and the town."""
     out = []
@@ -106,10 +117,16 @@ def lookup_keys(r: dict) -> tuple[np.ndarray, np.ndarray]:
     pr: set[tuple] = set()
     forms = orders(r["core"])
     if forms and forms[0]:
-        k = NAME_EDITS if len(forms[0]) >= 8 else WORD_EDITS
-        ix |= {("n", *x) for x in index_keys(forms[0], k)}
+        # of two names that are near, both have segments or both have deletions, with the same edits on both sides
+        if len(forms[0]) >= SHORT_NAME:
+            ix |= {("n", *x) for x in index_keys(forms[0], NAME_EDITS)}
+        if len(forms[0]) < SHORT_NAME + NAME_EDITS:
+            ix |= {("d", x) for x in deletion_keys(forms[0], NAME_EDITS)}
         for f in forms:
-            pr |= {("n", *x) for x in probe_keys(f, NAME_EDITS if len(f) >= 8 else WORD_EDITS)}
+            if len(f) >= SHORT_NAME:
+                pr |= {("n", *x) for x in probe_keys(f, NAME_EDITS)}
+            if len(f) < SHORT_NAME + NAME_EDITS:
+                pr |= {("d", x) for x in deletion_keys(f, NAME_EDITS)}
     word_ix: set[tuple] = set()
     word_pr: set[tuple] = set()
     for w in r["core"]:

@@ -180,3 +180,18 @@ def test_pairs_through_any_third(spark):
     want = {(a, b) for a in ids for b in ids if a < b and ((a, b) in links or beside(a) & beside(b))}
     got = {(r.a, r.b): r.confidence for r in entity_match.closed(c, good).collect()}
     assert set(got) == want and abs(got[1, 2] - 0.81) < 1e-9
+
+
+def test_short_whole_names_meet_across_every_length(spark):
+    rnd = random.Random(12)
+    data = [(1, ["abel", "fox"], "oldham"), (2, ["abell", "fox"], "oldham")]
+    for i in range(2, 150):
+        w = "".join(rnd.choice("abc") for _ in range(rnd.randint(6, 9)))
+        v = w
+        for _ in range(rnd.randint(0, 2)):
+            j = rnd.randrange(len(v))
+            v = v[:j] + rnd.choice(["", "x", v[j] + "y"]) + v[j + 1 :]
+        data += [(2 * i, [w], "oldham"), (2 * i + 1, [v], "oldham")]
+    want = {(a, b) for a, x, _ in data for b, y, _ in data if a < b and levenshtein("".join(x), "".join(y)) <= 2}
+    got = {(r.a, r.b) for r in name_variants.candidate_pairs(_contents(spark, data)).collect()}
+    assert (1, 2) in want and want <= got
