@@ -176,8 +176,8 @@ def promoted(i: str, n: str, d: str, b: str, s: str) -> Column:
 
 
 def drift(cell_rows: DataFrame, columns: DataFrame, same_share: float = SAME_SHARE) -> DataFrame:
-    """feed_id, file_no, change, column_name, old_name: each file against the
-    one of the next lower number.
+    """feed_id, file_no, change, column_name, old_name (empty but for renamed
+    columns): each file against the one of the next lower number.
 
     ``type_changed`` compares with the type the column last had, so one without
     values keeps it.  ``renamed``: among columns gone and columns new in one
@@ -193,7 +193,7 @@ def drift(cell_rows: DataFrame, columns: DataFrame, same_share: float = SAME_SHA
         F.lag("file_no").over(by_col).alias("seen"), F.lead("file_no").over(by_col).alias("again"),
     )
     known = cut(known)
-    typed = known.where("prev is not null and seen = prev and type != old_type").select(*_FILE, F.lit("type_changed").alias("change"), "column_name", F.lit(None).cast("string").alias("old_name"))
+    typed = known.where("prev is not null and seen = prev and type != old_type").select(*_FILE, F.lit("type_changed").alias("change"), "column_name", F.lit("").alias("old_name"))
     new = known.where("prev is not null and (seen is null or seen != prev)").select(*_FILE, "prev", "column_name")
     gone = known.where("next is not null and (again is null or again != next)").select("feed_id", F.col("next").alias("file_no"), F.col("file_no").alias("prev"), "column_name")
     # only columns that vanish or appear meet, account by account
@@ -209,8 +209,8 @@ def drift(cell_rows: DataFrame, columns: DataFrame, same_share: float = SAME_SHA
     scored = scored.where((F.col("same") >= same_share * F.col("n")) & (F.col("n") > 0))
     rank = lambda by, other: F.row_number().over(Window.partitionBy(*change, by).orderBy(F.desc(F.col("same") / F.col("n")), F.desc("kinds"), F.desc("n"), other))
     renamed = cut(scored.select("*", rank("new_name", "old_name").alias("r1"), rank("old_name", "new_name").alias("r2")).where("r1 = 1 and r2 = 1").select(*change, "new_name", "old_name"))
-    added = new.join(renamed.select(*change, F.col("new_name").alias("column_name")), [*change, "column_name"], "left_anti").select(*change, F.lit("added").alias("change"), "column_name", F.lit(None).cast("string").alias("old_name"))
-    removed = gone.join(renamed.select(*change, F.col("old_name").alias("column_name")), [*change, "column_name"], "left_anti").select(*change, F.lit("removed").alias("change"), "column_name", F.lit(None).cast("string").alias("old_name"))
+    added = new.join(renamed.select(*change, F.col("new_name").alias("column_name")), [*change, "column_name"], "left_anti").select(*change, F.lit("added").alias("change"), "column_name", F.lit("").alias("old_name"))
+    removed = gone.join(renamed.select(*change, F.col("old_name").alias("column_name")), [*change, "column_name"], "left_anti").select(*change, F.lit("removed").alias("change"), "column_name", F.lit("").alias("old_name"))
     return typed.unionByName(added).unionByName(removed).unionByName(renamed.select(*change, F.lit("renamed").alias("change"), F.col("new_name").alias("column_name"), "old_name"))
 
 

@@ -22,8 +22,8 @@ def test_changes_between_files(spark, rows):
     four = [json.dumps({"accountId": "A-1", "balance": None, "isActive": 1, "kostenstelle": "CO-77", "postedOn": "31.01.2024"})]
     cells, cols = feed(spark, [("f", 1, 5, one), ("f", 2, 1, two), ("f", 3, 7, three), ("f", 3, 8, three), ("f", 4, 9, four), ("g", 9, 1, one)])
     assert rows(feed_drift.drift(cells, cols)) == [
-        ("f", 2, "added", "postedon", None), ("f", 2, "removed", "note", None), ("f", 2, "renamed", "kostenstelle", "costcenter"),
-        ("f", 3, "type_changed", "isactive", None), ("f", 4, "type_changed", "kostenstelle", None),
+        ("f", 2, "added", "postedon", ""), ("f", 2, "removed", "note", ""), ("f", 2, "renamed", "kostenstelle", "costcenter"),
+        ("f", 3, "type_changed", "isactive", ""), ("f", 4, "type_changed", "kostenstelle", ""),
     ]
     wide = feed_drift.read_feed(cells, cols, "f").where("file_no = 1 and key = 'a-2'").first()
     assert wide["balance"] == -20.0 and wide["isactive"] == "no" and wide["costcenter"] == 78
