@@ -10,7 +10,9 @@ and column.
 from __future__ import annotations
 
 import csv
+import functools
 import json
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from tallyframe.functions.text import blank_to_null
+from tallyframe.functions.text import trimmed
 from tallyframe.session import cut
 
 #: Texts that are no values, header names of the key column, comment marks.
@@ -30,7 +32,7 @@ DELIMITERS = ("\t", "|", ";", ",")
 #: The promotion lattice: two types meet in their least common type.
 _NUMBER = r"(\d{1,3}(,\d{3})+|\d+)"
 INTEGER, DECIMAL = rf"^{_NUMBER}$", rf"^({_NUMBER}?\.\d+|{_NUMBER}\.|\d{{1,3}}(\.\d{{3}})+,\d+|\d+(\.\d+)?[eE][+-]?\d+)$"
-BOOLEAN = r"(?i)^(true|false|yes|no|y|n)$"
+TRUTHS = ("true", "false", "yes", "no", "y", "n")
 DATES = (r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?Z?$", r"^\d{4}/\d{1,2}/\d{1,2}$", r"^\d{1,2}\.\d{1,2}\.\d{4}$", r"^\d{1,2}/\d{1,2}/\d{4}$")
 #: A column is the old one renamed if this share of the accounts with both values agree.
 SAME_SHARE = 0.8
@@ -45,8 +47,10 @@ def column_form(c: Column) -> Column:
 
 def value_of(c: Column) -> Column:
     """A cell without blanks and quotes; null for no value."""
-    c = blank_to_null(F.regexp_replace(blank_to_null(c), r'^"(.*)"$', "$1"))
-    return F.when(~F.lower(c).isin(*NO_VALUE), c)
+    c = trimmed(c)
+    quoted = c.startswith('"') & c.endswith('"') & (F.length(c) > 1)
+    c = F.when(quoted, trimmed(F.substring(c, F.lit(2), F.length(c) - 2))).otherwise(c)
+    return F.when((c != "") & ~F.lower(c).isin(*NO_VALUE), c)
 
 
 def unsigned(v: Column) -> Column:
@@ -55,39 +59,38 @@ def unsigned(v: Column) -> Column:
 
 
 def type_of(v: Column) -> Column:
-    """The narrowest type of one value: int, decimal, date, boolean or text."""
+    """The narrowest type of one value: int, decimal, date, boolean or text.
+    A value that begins with a letter is put to no number pattern."""
     u = unsigned(v)
-    date = v.rlike("|".join(DATES))
-    return (
-        F.when(v.isNull(), None).when(u.rlike(INTEGER), "int").when(u.rlike(DECIMAL), "decimal").when(date, "date").when(v.rlike(BOOLEAN), "boolean").otherwise("text")
-    )
+    figures = F.when(u.rlike(INTEGER), "int").when(u.rlike(DECIMAL), "decimal").when(v.rlike("|".join(DATES)), "date").otherwise("text")
+    first = F.ascii(F.substring(v, 1, 1))
+    return F.when(v.isNull(), None).when(F.lower(v).isin(*TRUTHS), "boolean").when(first < 64, figures).otherwise("text")
 
 
 def number_of(v: Column) -> Column:
-    """The value of a number, null for other texts."""
+    """The value of a number."""
     u = unsigned(v)
     plain = F.when(u.rlike(r"^\d{1,3}(\.\d{3})+,\d+$"), F.translate(u, ",.", ".")).otherwise(F.replace(u, F.lit(","), F.lit("")))
     n = plain.try_cast("double")
-    return F.when(u.rlike(INTEGER) | u.rlike(DECIMAL), F.when(v.rlike(r"^\(|^-|-$"), -n).otherwise(n))
+    return F.when(v.startswith("(") | v.startswith("-") | v.endswith("-"), -n).otherwise(n)
 
 
 def date_of(v: Column) -> Column:
-    """A date's ISO text, null for other texts.  Slashed dates with the year last are day first."""
-    iso = F.regexp_extract(v, r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})", 0)
-    y_first = F.concat_ws("-", F.regexp_extract(v, r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})", 1), F.lpad(F.regexp_extract(v, r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})", 2), 2, "0"), F.lpad(F.regexp_extract(v, r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})", 3), 2, "0"))
-    late = r"^(\d{1,2})[./](\d{1,2})[./](\d{4})$"
-    y_last = F.concat_ws("-", F.regexp_extract(v, late, 3), F.lpad(F.regexp_extract(v, late, 2), 2, "0"), F.lpad(F.regexp_extract(v, late, 1), 2, "0"))
-    return F.when(v.rlike("|".join(DATES)), F.when(iso != "", y_first).otherwise(y_last))
+    """A date's ISO text.  Slashed dates with the year last are day first."""
+    parts = F.split(F.regexp_replace(v, "[T ].*$|Z$", ""), "[-/.]")
+    at = lambda i: F.lpad(F.try_element_at(parts, F.lit(i)), 2, "0")
+    year_first = F.length(F.try_element_at(parts, F.lit(1))) == 4
+    return F.when(year_first, F.concat_ws("-", parts[0], at(2), at(3))).otherwise(F.concat_ws("-", F.try_element_at(parts, F.lit(3)), at(2), at(1)))
 
 
 def truth_of(v: Column) -> Column:
-    return F.when(v.rlike(BOOLEAN), F.lower(v).isin("true", "yes", "y"))
+    return F.lower(v).isin("true", "yes", "y")
 
 
-def canonical(v: Column) -> Column:
+def canonical(v: Column, type_: Column) -> Column:
     """One notation per value, whatever its type's notation in the file."""
-    n = number_of(v)
-    return F.coalesce((n + F.lit(0.0)).cast("string"), date_of(v), truth_of(v).cast("string"), v)
+    number = (number_of(v) + F.lit(0.0)).cast("string")
+    return F.when(type_.isin("int", "decimal"), number).when(type_ == "date", date_of(v)).when(type_ == "boolean", truth_of(v).cast("string")).otherwise(v)
 
 
 _CELLS = StructType([StructField("k", ArrayType(StringType())), StructField("v", ArrayType(StringType()))])
@@ -101,6 +104,12 @@ def _text(x: object) -> str | None:
     return json.dumps(x, ensure_ascii=False, sort_keys=True) if isinstance(x, (dict, list)) else str(x)
 
 
+@functools.lru_cache(maxsize=10_000)
+def _name(key: str) -> str:
+    """``column_form`` of a JSON key; keys recur from line to line."""
+    return "".join(c for c in key.lower() if unicodedata.category(c)[0] in "LN")
+
+
 def _cut_line(line: str | None, sep: str | None) -> tuple[list[str] | None, list[str | None] | None]:
     if line is None or sep is None:
         return None, None
@@ -109,7 +118,7 @@ def _cut_line(line: str | None, sep: str | None) -> tuple[list[str] | None, list
             row = json.loads(line, parse_float=str, parse_int=str)
         except ValueError:
             return None, None
-        return ([str(k) for k in row], [_text(x) for x in row.values()]) if isinstance(row, dict) else (None, None)
+        return ([_name(k) for k in row], [_text(x) for x in row.values()]) if isinstance(row, dict) else (None, None)
     try:
         return None, next(csv.reader([line], delimiter=sep, strict=False), [])
     except csv.Error:
@@ -144,25 +153,27 @@ def delivered_lines(lines: DataFrame) -> DataFrame:
 
 
 def cells(lines: DataFrame, key_names: Sequence[str] = KEY_NAMES) -> DataFrame:
-    """feed_id, file_no, line_no, key, column_name, value for every cell of the
-    files as last delivered; value null for no value.  A delimited file's cells
+    """feed_id, file_no, line_no, key, column_name, value, type for every cell of
+    the files as last delivered; value and type null for no value.  A delimited file's cells
     follow its header: cells beyond it are dropped, missing ones have no value;
     of columns with one name the first with a value counts.  The key is the
     line's value in the first column named as one of ``key_names``."""
     d = delivered_lines(lines).withColumn("c", _cells("line", "sep"))
-    names = F.coalesce(F.transform("c.k", column_form), F.col("header"))
+    names = F.coalesce(F.col("c.k"), F.col("header"))
     pairs = F.arrays_zip(names.alias("n"), F.coalesce(F.col("c.v"), F.array().cast("array<string>")).alias("v"))
     pairs = F.filter(pairs, lambda p: p["n"].isNotNull() & (p["n"] != ""))
-    wide = d.where("c.v is not null").select(*_FILE, "line_no", F.transform(pairs, lambda p: F.struct(p["n"].alias("n"), value_of(p["v"]).alias("v"))).alias("p"))
-    value_in = lambda k: F.try_element_at(F.transform(F.filter("p", lambda p: (p["n"] == k) & p["v"].isNotNull()), lambda p: p["v"]), F.lit(1))
-    keyed = F.coalesce(*[value_in(k) for k in key_names])
-    return wide.select(*_FILE, "line_no", keyed.alias("key"), F.inline("p")).select(*_FILE, "line_no", F.lower("key").alias("key"), F.col("n").alias("column_name"), F.col("v").alias("value"))
+    wide = d.where("c.v is not null").select(*_FILE, "line_no", pairs.alias("p"))
+    named = F.filter("p", lambda p: p["n"].isin(*key_names))
+    value_in = lambda k: F.try_element_at(F.filter(F.transform(F.filter("keys", lambda p: p["n"] == k), lambda p: value_of(p["v"])), lambda v: v.isNotNull()), F.lit(1))
+    keyed = wide.withColumn("keys", named).select(*_FILE, "line_no", F.lower(F.coalesce(*[value_in(k) for k in key_names])).alias("key"), F.inline("p"))
+    # values and types are worked out once, outside the arrays, in generated code
+    valued = keyed.select(*_FILE, "line_no", "key", F.col("n").alias("column_name"), value_of(F.col("v")).alias("value"))
+    return valued.withColumn("type", type_of(F.col("value")))
 
 
 def file_columns(cell_rows: DataFrame) -> DataFrame:
     """One row per file and column: its type by the lattice, null without values."""
-    t = type_of(F.col("value"))
-    has = lambda x: F.max(F.coalesce(t == x, F.lit(False)))
+    has = lambda x: F.max(F.coalesce(F.col("type") == x, F.lit(False)))
     g = cell_rows.groupBy(*_FILE, "column_name").agg(F.count("value").alias("n_values"), has("int").alias("i"), has("decimal").alias("n"), has("date").alias("d"), has("boolean").alias("b"), has("text").alias("s"))
     return g.select(*_FILE, "column_name", "n_values", promoted("i", "n", "d", "b", "s").alias("type"))
 
@@ -196,15 +207,18 @@ def drift(cell_rows: DataFrame, columns: DataFrame, same_share: float = SAME_SHA
     typed = known.where("prev is not null and seen = prev and type != old_type").select(*_FILE, F.lit("type_changed").alias("change"), "column_name", F.lit("").alias("old_name"))
     new = known.where("prev is not null and (seen is null or seen != prev)").select(*_FILE, "prev", "column_name")
     gone = known.where("next is not null and (again is null or again != next)").select("feed_id", F.col("next").alias("file_no"), F.col("file_no").alias("prev"), "column_name")
-    # only columns that vanish or appear meet, account by account
-    value = cell_rows.where("key is not null and value is not null").groupBy(*_FILE, "key", "column_name").agg(F.min(canonical(F.col("value"))).alias("x"))
+    # only columns that vanish from or appear in a file with both kinds of columns meet, account by account
     change = ["feed_id", "file_no"]
     pairs_of = new.select(*change).distinct().join(gone.select(*change).distinct(), change)
-    after = value.join(new.join(pairs_of, change, "left_semi").select(*change, "column_name"), [*change, "column_name"]).withColumnRenamed("column_name", "new_name")
-    before = (
-        value.withColumnRenamed("file_no", "prev").join(gone.join(pairs_of, change, "left_semi"), ["feed_id", "prev", "column_name"])
-        .select(*change, "key", F.col("column_name").alias("old_name"), F.col("x").alias("y"))
+    asked = cut(
+        new.join(pairs_of, change, "left_semi").select("feed_id", F.col("file_no").alias("at"), "file_no", "column_name", F.lit(True).alias("is_new"))
+        .unionByName(gone.join(pairs_of, change, "left_semi").select("feed_id", F.col("prev").alias("at"), "file_no", "column_name", F.lit(False).alias("is_new")))
     )
+    of_asked = cell_rows.where("key is not null and value is not null").withColumnRenamed("file_no", "at").join(asked, ["feed_id", "at", "column_name"])
+    value = of_asked.groupBy(*change, "is_new", "key", "column_name").agg(F.min(canonical(F.col("value"), F.col("type"))).alias("x"))
+    value = cut(value)
+    after = value.where("is_new").select(*change, "key", F.col("column_name").alias("new_name"), "x")
+    before = value.where("not is_new").select(*change, "key", F.col("column_name").alias("old_name"), F.col("x").alias("y"))
     scored = after.join(before, [*change, "key"]).groupBy(*change, "new_name", "old_name").agg(F.count("*").alias("n"), F.count(F.when(F.col("x") == F.col("y"), 1)).alias("same"), F.count_distinct("x").alias("kinds"))
     scored = scored.where((F.col("same") >= same_share * F.col("n")) & (F.col("n") > 0))
     rank = lambda by, other: F.row_number().over(Window.partitionBy(*change, by).orderBy(F.desc(F.col("same") / F.col("n")), F.desc("kinds"), F.desc("n"), other))
@@ -224,7 +238,7 @@ def feed_schema(columns: DataFrame) -> DataFrame:
 def consistent_table(cell_rows: DataFrame, columns: DataFrame) -> DataFrame:
     """All feeds as one table: a row per feed, file and line with the values cast
     to the union schema, as maps by type (numbers, dates, truths, texts)."""
-    typed = cell_rows.join(feed_schema(columns).select("feed_id", "column_name", "type"), ["feed_id", "column_name"]).where("value is not null")
+    typed = cell_rows.drop("type").join(feed_schema(columns).select("feed_id", "column_name", "type"), ["feed_id", "column_name"]).where("value is not null")
     v = F.col("value")
     pick = lambda cond, x: F.map_from_entries(F.array_sort(F.collect_set(F.when(cond, F.struct("column_name", x.alias("v"))))))
     dedup = typed.groupBy(*_FILE, "line_no", "key", "column_name", "type").agg(F.min("value").alias("value"))
