@@ -3,10 +3,15 @@
 Candidates come from the segment join of names and from exact agreement in two
 of address, phone and web name.  Heuristic matching functions vote on each
 candidate, each on one attribute and with an opinion graded by how far it
-agrees; none is trusted beforehand.  A generative model with a hidden match
-variable learns from the votes alone how accurate each function is and which
-of them are correlated (a tree over the functions, Chow and Liu 1968, given the
-hidden variable), by expectation-maximisation.  Its posterior is the confidence.
+agrees; all that is said of an opinion beforehand is whether it agrees,
+disagrees or abstains.  A generative model with a hidden match variable learns
+how accurate each function is by expectation-maximisation, begun from the
+unweighted majority of votes: first with functions that are independent given
+the match, which finds the two classes, then with a tree of correlated
+functions (Chow and Liu 1968, given the match).  Its posterior is the
+confidence, and nothing else decides.  That two records match a third is the
+vote of one more function, whose accuracy is learned from the pairs judged
+before.
 
 What is collected is the count of each pattern of votes, whose number is bounded
 by the functions' opinions and does not grow with the data.
@@ -14,19 +19,24 @@ by the functions' opinions and does not grow with the data.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import name_variants
 from tallyframe.llm.names import edits, orders
 from tallyframe.session import cut
 
+#: The matching functions, and for each of their opinions whether it agrees (1), disagrees (-1) or abstains (0).
+STANCES = {
+    "name": (-1, 0, 1, 1, 1), "given": (0, 1, 0, -1, -1), "activity": (0, 1, 0, -1), "number": (0, 1, 0, -1), "street": (0, 1, 0, -1),
+    "zip": (0, 1, 0, -1), "town": (0, 1, -1), "phone": (0, 1, 0, -1), "web": (0, 1, -1), "legal": (0, 1, -1),
+}
 #: The matching functions and the number of their opinions.
-FUNCTIONS = {"name": 5, "given": 5, "activity": 4, "number": 4, "street": 4, "zip": 4, "town": 3, "phone": 4, "web": 3, "legal": 3}
+FUNCTIONS = {k: len(v) for k, v in STANCES.items()}
 #: Members of a group that are paired within one task; larger groups are salted.
 CELL = 500
 #: Pairs with at least this posterior are matches.
@@ -137,29 +147,25 @@ def votes(a: dict, b: dict) -> str:
 
 
 class LabelModel:
-    """P(match) by pattern of votes: a hidden class over a tree of functions."""
-
-    def __init__(self, sizes: list[int], rounds: int = 40, smooth: float = 0.5) -> None:
-        self.sizes, self.rounds, self.smooth = sizes, rounds, smooth
-
-    @staticmethod
-    def expectation(v: np.ndarray) -> np.ndarray:
-        """Where the rounds start: agreement in name and in place, without a
-        contradiction in who or which site, leans to a match."""
-        name, given, activity, number, street, zip_, town, phone, web, _ = v.T
-        here = (street == 1) | (zip_ == 1) | (zip_ == 2) | (phone == 1)
-        elsewhere = (street == 3) | (zip_ == 3) | (town == 2)
-        place = (street == 1) * 2.0 + (zip_ == 1) * 2 + (zip_ == 2) * 1.5 + (town == 1) * 1.5 + (phone == 1) * 1.5 + (phone == 2) * 1 - (street == 3) * 2 - (street == 2) * 0.7 - (zip_ == 3) * 3 - (town == 2) * 2.5 - (phone == 3) * 0.7 - (elsewhere & ~here) * 4
-        who = np.select([name >= 3, name == 2, name == 1], [2.0, 1.5, -1.0], -3.0)
-        who = who - (given >= 3) * 4 - (activity == 3) * 2.5 - (number == 3) * 5 - (number == 2) * 1
-        # another name at one address with one line, or one address and web name
-        renamed = (name <= 1) & (given != 3) & (number != 3) & ~((zip_ == 3) | (town == 2)) & (
-            ((street == 1) & (phone == 1)) | ((street == 1) & (web == 1) & (phone != 3)) | ((phone == 1) & (web == 1) & (zip_ + town > 0) & (street != 3))
-        )
-        x = who + place - 1.5
-        return np.where(renamed, 0.997, 1 / (1 + np.exp(-1.5 * x)))
-
-    def _tree(self, v: np.ndarray, w: np.ndarray, q: np.ndarray) -> list[int]:
+    """P(match) by pattern of votes: a hidden class over a tree of functions.
+
+    ``rounds`` bounds the rounds of the independent model, which stop when no
+    posterior moves; ``correlated`` is the number of rounds with the tree.
+    Those only adjust the classes found before for votes that repeat each
+    other: run to their end they would explain the rarer kinds of match away
+    as correlation among non-matches, since either reading fits the counts."""
+
+    def __init__(self, stances: dict[str, Sequence[int]] = STANCES, rounds: int = 200, correlated: int = 3, smooth: float = 0.5) -> None:
+        self.names, self.stances = list(stances), [np.array(x) for x in stances.values()]
+        self.rounds, self.correlated, self.smooth = rounds, correlated, smooth
+        self.parent = [-1] * len(stances)
+        self.information = [0.0] * len(stances)
+
+    def majority(self, v: np.ndarray) -> np.ndarray:
+        """Agreements less disagreements of each pattern."""
+        return sum((s[v[:, j]] for j, s in enumerate(self.stances)), np.zeros(len(v)))
+
+    def _tree(self, v: np.ndarray, w: np.ndarray, q: np.ndarray) -> None:
         """Parent of each function (-1: none) by mutual information given the class."""
         m = v.shape[1]
         info = np.full((m, m), -1.0)
@@ -167,51 +173,79 @@ class LabelModel:
             for j in range(i):
                 s = 0.0
                 for c in (q, 1 - q):
-                    t = np.zeros((self.sizes[i], self.sizes[j])) + 1e-6
+                    t = np.zeros((len(self.stances[i]), len(self.stances[j]))) + 1e-6
                     np.add.at(t, (v[:, i], v[:, j]), w * c)
                     p = t / t.sum()
                     s += (w * c).sum() / w.sum() * float((p * np.log(p / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True)))).sum())
                 info[i, j] = info[j, i] = s
-        parent, inside = [-1] * m, {0}
+        inside = {0}
         while len(inside) < m:
             i, j = max(((i, j) for i in inside for j in range(m) if j not in inside), key=lambda x: info[x])
-            parent[j] = i
+            self.parent[j], self.information[j] = i, float(info[i, j])
             inside.add(j)
-        return parent
+
+    def _learn(self, v: np.ndarray, w: np.ndarray, q: np.ndarray) -> None:
+        """Log-probabilities of the opinions in either class, given the parent's."""
+        self.tables = []
+        for c in (q, 1 - q):
+            wc = w * c
+            own_of = []
+            for j, (s, p) in enumerate(zip(self.stances, self.parent, strict=True)):
+                own = np.zeros(len(s)) + self.smooth
+                np.add.at(own, v[:, j], wc)
+                own /= own.sum()
+                if p < 0:
+                    own_of.append(np.log(own)[None, :])
+                    continue
+                t = np.zeros((len(self.stances[p]), len(s))) + 4 * self.smooth * own
+                np.add.at(t, (v[:, p], v[:, j]), wc)
+                own_of.append(np.log(t / t.sum(1, keepdims=True)))
+            self.tables.append((np.log(wc.sum() + 1), own_of))
+
+    def log_odds(self, v: np.ndarray) -> np.ndarray:
+        """Log-odds of a match for any patterns."""
+        sides = []
+        for prior, tables in self.tables:
+            x = np.full(len(v), prior)
+            for j, (t, p) in enumerate(zip(tables, self.parent, strict=True)):
+                x += t[v[:, p] if p >= 0 else 0, v[:, j]]
+            sides.append(x)
+        return sides[0] - sides[1]
 
     def fit(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Posterior of each pattern in ``v`` (rows) with counts ``w``."""
+        self.tables = [(0.0, [np.zeros((1, len(s))) for s in self.stances])] * 2
         if not len(v):
             return np.zeros(0)
-        q = self.expectation(v)
-        start = q.copy()
-        for round_ in range(self.rounds):
-            if round_ < 5:
-                self.parent = self._tree(v, w, q)
-            log = np.zeros((len(v), 2))
-            for k, c in enumerate((q, 1 - q)):
-                wc = w * c
-                log[:, k] = np.log(wc.sum() + 1)
-                for j, p in enumerate(self.parent):
-                    own = np.zeros(self.sizes[j]) + self.smooth
-                    np.add.at(own, v[:, j], wc)
-                    own /= own.sum()
-                    if p < 0:
-                        log[:, k] += np.log(own[v[:, j]])
-                        continue
-                    t = np.zeros((self.sizes[p], self.sizes[j])) + 4 * self.smooth * own
-                    np.add.at(t, (v[:, p], v[:, j]), wc)
-                    t /= t.sum(1, keepdims=True)
-                    log[:, k] += np.log(t[v[:, p], v[:, j]])
-            new = 1 / (1 + np.exp(np.clip(log[:, 1] - log[:, 0], -50, 50)))
-            # patterns that are clear from the start keep the classes from trading places
-            new = np.where(start > 0.995, np.maximum(new, 0.9), np.where(start < 0.005, np.minimum(new, 0.1), new))
-            if np.abs(new - q).max() < 1e-4:
-                q = new
+        q = confidence_of(self.majority(v))
+        for _ in range(self.rounds):
+            self._learn(v, w, q)
+            before, q = q, confidence_of(self.log_odds(v))
+            if np.abs(q - before).max() < 1e-4:
                 break
-            q = new
+        for _ in range(self.correlated):
+            self._tree(v, w, q)
+            self._learn(v, w, q)
+            q = confidence_of(self.log_odds(v))
         return q
 
+    def report(self, v: np.ndarray, w: np.ndarray, q: np.ndarray) -> list[tuple[str, float, float, str | None, float]]:
+        """(function, coverage, accuracy, function it is most correlated with,
+        mutual information in nats): how often each function agrees or
+        disagrees at all, and how often it is then right by the posterior."""
+        out = []
+        for j, name in enumerate(self.names):
+            s = self.stances[j][v[:, j]] if len(v) else np.zeros(0)
+            said = float((w * (s != 0)).sum())
+            right = float((w * np.where(s > 0, q, np.where(s < 0, 1 - q, 0))).sum())
+            parent = self.names[self.parent[j]] if self.parent[j] >= 0 else None
+            out.append((name, said / max(float(w.sum()), 1.0), right / said if said else 0.0, parent, self.information[j]))
+        return out
+
+
+def confidence_of(log_odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(log_odds, -50, 50)))
+
 
 def pairs_within(keyed: DataFrame) -> DataFrame:
     """(a, b, ca, cb), a < b, of every two ``cid`` with one ``key``, and their
@@ -256,47 +290,84 @@ def voted(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ra", "rb").mapInPandas(judge, "a long, b long, pattern string")
 
 
-def closed(classes: DataFrame, good: DataFrame) -> DataFrame:
-    """``good`` and the pairs that only a third content joins: two that both match
-    it, have like names and contradict each other in nothing, as when one has
-    only an address and the other only a phone.  Every third content counts; the
-    confidence is the greatest product of the two."""
-    good = cut(good.select("a", "b", "pattern", "confidence"))
-    ways = good.where("a != b").select("a", "b", "confidence").unionByName(good.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "confidence"))
-    two = pairs_within(ways.select(F.col("a").alias("key"), F.col("b").alias("cid"), F.col("confidence").alias("c")))
-    two = two.groupBy("a", "b").agg(F.max(F.col("ca") * F.col("cb")).alias("confidence"))
-    two = cut(two.join(good.select("a", "b"), ["a", "b"], "left_anti"))
-    # opinions in the order of FUNCTIONS: name, given, activity, number, street, zip, town, phone, web, legal
-    fits = voted(classes, two.select("a", "b")).where(F.col("pattern").rlike("^[234][0-2][0-2][0-2][0-2][0-2][01]"))
-    return good.unionByName(fits.join(two, ["a", "b"]).select("a", "b", "pattern", "confidence"))
-
-
-def judged_pairs(classes: DataFrame, members: DataFrame, places_too: bool = True) -> DataFrame:
-    """(a, b, pattern, confidence) of all candidate pairs of contents; contents
-    with several members are paired with themselves."""
-    several = members.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+def closed(classes: DataFrame, judged: DataFrame, model: LabelModel, confident: float = CONFIDENT) -> DataFrame:
+    """(a, b, pattern, confidence) of the matches among ``judged``, and of pairs
+    that become one by a third content both match, as when one has only an
+    address and the other only a phone.
+
+    Having such a third is a vote of its own, whose weight is learned from the
+    judged pairs: how many matches have one, and how many others.  It is added
+    to what the model makes of the pair's other votes, so a contradiction still
+    counts.  Every third content counts, however many matches it has."""
+    judged = cut(judged.select("a", "b", "pattern", "confidence"))
+    good = judged.where(F.col("confidence") >= confident)
+    ways = good.where("a != b").select("a", "b").unionByName(good.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    third = cut(pairs_within(ways.select(F.col("a").alias("key"), F.col("b").alias("cid"), F.lit(1.0).alias("c"))).select("a", "b").distinct())
+    seen = judged.where("a != b").join(third.withColumn("t", F.lit(True)), ["a", "b"], "left")
+    c, has = F.col("confidence"), F.col("t").isNotNull()
+    n, matches, having, matches_having = (float(x or 0) for x in seen.agg(F.count("*"), F.sum(c), F.count("t"), F.sum(F.when(has, c))).first())
+    weight = np.log((matches_having + 0.5) / (matches + 1)) - np.log((having - matches_having + 0.5) / (n - matches + 1))
+    again = cut(voted(classes, third.join(good.select("a", "b"), ["a", "b"], "left_anti")))
+    patterns = [r["pattern"] for r in again.select("pattern").distinct().collect()]
+    table = _table(again.sparkSession, patterns, confidence_of(model.log_odds(_matrix(patterns)) + weight))
+    more = again.join(F.broadcast(table), "pattern").where(F.col("confidence") >= confident)
+    return good.unionByName(more.select("a", "b", "pattern", "confidence"))
+
+
+def _matrix(patterns: Sequence[str]) -> np.ndarray:
+    return np.array([[int(c) for c in p] for p in patterns], np.int64).reshape(len(patterns), len(FUNCTIONS))
+
+
+def _table(spark: SparkSession, patterns: Sequence[str], confidence: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(p, float(c)) for p, c in zip(patterns, confidence, strict=True)], "pattern string, confidence double")
+
+
+def candidates(classes: DataFrame, members: DataFrame, places_too: bool = True) -> DataFrame:
+    """(a, b, pattern) of all candidate pairs of contents; contents with a name
+    and several members are paired with themselves."""
+    named = classes.where(F.size("core") > 0).select("cid")
+    several = members.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").join(named, "cid", "left_semi").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
     pairs = name_variants.candidate_pairs(classes).unionByName(several)
     if places_too:
         pairs = pairs.unionByName(exact_place_pairs(classes)).distinct()
-    seen = cut(voted(classes, pairs))
+    return cut(voted(classes, pairs))
+
+
+def fitted(seen: DataFrame) -> tuple[LabelModel, list[str], np.ndarray, np.ndarray]:
+    """A model of the votes in ``seen``, their patterns, counts and posteriors."""
     counts = seen.groupBy("pattern").count().orderBy("pattern").collect()
-    v = np.array([[int(c) for c in r["pattern"]] for r in counts], np.int64).reshape(len(counts), len(FUNCTIONS))
-    q = LabelModel(list(FUNCTIONS.values())).fit(v, np.array([r["count"] for r in counts], float))
-    table = seen.sparkSession.createDataFrame([(r["pattern"], float(p)) for r, p in zip(counts, q, strict=True)], "pattern string, confidence double")
-    return seen.join(F.broadcast(table), "pattern").select("a", "b", "pattern", "confidence")
+    patterns, w = [r["pattern"] for r in counts], np.array([r["count"] for r in counts], float)
+    model = LabelModel()
+    return model, patterns, w, model.fit(_matrix(patterns), w)
+
+
+def matched(classes: DataFrame, members: DataFrame, confident: float, places_too: bool = True) -> DataFrame:
+    """(a, b, pattern, confidence) of all pairs of contents that match."""
+    seen = candidates(classes, members, places_too)
+    model, patterns, _, q = fitted(seen)
+    return closed(classes, seen.join(F.broadcast(_table(seen.sparkSession, patterns, q)), "pattern"), model, confident)
+
+
+def functions_learned(rows: DataFrame) -> DataFrame:
+    """function, coverage, accuracy, correlated_with, information: what the model
+    learns of each matching function from the votes on ``rows``, records of all
+    registers."""
+    seen = candidates(*name_variants.classes_of(rows))
+    model, patterns, w, q = fitted(seen)
+    return rows.sparkSession.createDataFrame(model.report(_matrix(patterns), w, q), "function string, coverage double, accuracy double, correlated_with string, information double")
 
 
 def match(left: DataFrame, right: DataFrame, confident: float = CONFIDENT) -> DataFrame:
     """(key_left, key_right, confidence) of records of two registers (in the form
     of ``name_variants.records``) that mean the same firm or person.
 
-    Nulls and blanks in any attribute are abstentions; a record without any
-    place (address, town, phone, web name) matches nothing.  Repeated rows count
+    Nulls and blanks in any attribute are abstentions; a record without a name
+    matches nothing by its name.  Repeated rows count
     once; a key with several contents matches by its best.  Empty registers
     match nothing."""
     classes, members = name_variants.classes_of(left.unionByName(right))
     side = left.select("side").limit(1).collect()
-    good = closed(classes, judged_pairs(classes, members).where(F.col("confidence") >= confident))
+    good = matched(classes, members, confident)
     own = side[0][0] if side else ""
     both = good.select("a", "b", "confidence").unionByName(good.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "confidence"))
     a, b = (members.withColumnsRenamed({"cid": x, "side": f"side_{x}", "key": f"key_{x}"}) for x in "ab")
@@ -309,7 +380,7 @@ def variants(rows: DataFrame, confident: float = CONFIDENT) -> DataFrame:
     register whose names are variants of one and that mean the same, judged as
     in ``match``; nulls, repeats and empty tables as there."""
     classes, members = name_variants.classes_of(rows)
-    good = closed(classes, judged_pairs(classes, members, places_too=False).where((F.col("confidence") >= confident) & (F.substring("pattern", 1, 1) != "0")))
+    good = matched(classes, members, confident, places_too=False).where(F.substring("pattern", 1, 1) != "0")
     a, b = (members.withColumnsRenamed({"cid": x, "side": f"side_{x}", "key": f"key_{x}"}) for x in "ab")
     hit = good.join(a, "a").join(b, "b").where("side_a = side_b and key_a != key_b")
     return hit.groupBy(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).agg(F.max("confidence").alias("confidence"))

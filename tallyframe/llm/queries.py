@@ -25,6 +25,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_matches(spark, d).select("erp_id", "vendor_id")
 
 
+def p4_functions(spark: SparkSession, d: str) -> DataFrame:
+    erp, legacy = _vendors(spark, d)
+    return entity_match.functions_learned(erp.unionByName(legacy))
+
+
 def p5_variants(spark: SparkSession, d: str) -> DataFrame:
     erp, legacy = _vendors(spark, d)
     return entity_match.variants(erp.unionByName(legacy))
@@ -92,7 +97,7 @@ SELECT y AS group_id, x AS mention_id FROM reach WHERE x NOT LIKE '~%' AND x <>
 """
 
 QUERIES = {
-    "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p5_variants": p5_variants,
+    "p4_found": p4_found, "p4_matches": p4_matches, "p4_functions": p4_functions, "p5_found": p5_found, "p5_variants": p5_variants,
     "p6_found": p6_found, "p6_group_sizes": p6_group_sizes,
     "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_leaks_by_item": p8_leaks_by_item,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
