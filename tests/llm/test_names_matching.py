@@ -181,8 +181,8 @@ def test_pairs_through_any_third(spark):
     links = [(1, 3), (2, 3), (1, 10), (2, 20), *((10, i) for i in range(11, 16)), *((20, i) for i in range(21, 26))]
     judged = spark.createDataFrame([(a, b, "4" + "0" * 9, 0.9) for a, b in links], "a long, b long, pattern string, confidence double")
     model = entity_match.LabelModel()
-    v = entity_match._matrix(["4010111000", "0030332000"])
-    model.fit(v, np.array([1000.0, 1000.0]))
+    v = entity_match._matrix(["4010111000", "4000101000", "3000011000", "0030332000", "0000302000", "0030032000"])
+    model.fit(v, np.full(6, 1000.0))
     beside = lambda x: {b if a == x else a for a, b in links if x in (a, b)}
     want = {(a, b) for a in ids for b in ids if a < b and ((a, b) in links or beside(a) & beside(b))}
     got = {(r.a, r.b): r.confidence for r in entity_match.closed(c, judged, model).collect()}
