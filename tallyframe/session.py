@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -30,11 +31,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
     The cluster names it in ``spark.checkpoint.dir``; a temporary folder is
-    made only where that setting is absent (tests, one machine).
+    made only where that setting is absent and everything runs in one process.
+    Anywhere else executors could not read it, so there it is refused.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyframe-"))
     return named or sc.getCheckpointDir()
 
@@ -85,6 +89,14 @@ def release(df: DataFrame) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many tasks as there are cores.  Work on texts in
     Python outweighs moving them, and a small input may come as one split; larger
-    inputs have splits enough and stay where they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    inputs have splits enough and stay where they are.  Nothing is run to tell:
+    behind a shuffle, whose tasks are not known yet, the estimated size counts."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    run = df._jdf.queryExecution()
+    if "Exchange" in run.executedPlan().toString():
+        bytes_ = int(run.optimizedPlan().stats().sizeInBytes().toString())
+        few = bytes_ < cores * (64 << 20)
+    else:
+        few = df._jdf.rdd().getNumPartitions() < cores
+    return df.repartition(cores) if few else df
