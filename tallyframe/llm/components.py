@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from tallyframe.operators.graph import star_components
 from tallyframe.session import cut, release
 
-#: The reduction goes on while a round takes off more than this share of the links.
-WORTHWHILE = 0.05
+#: The reduction goes on while a round takes off more than this share of the links; below it a round costs more than it saves the stars.
+WORTHWHILE = 0.2
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -30,11 +30,11 @@ def _degrees(edges: DataFrame) -> DataFrame:
 
 
 def rake(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links left, and (vertex, parent) of the vertices with one link.  Of two
-    that have only each other the smaller stays."""
+    """Links left, and a table (u, v, vertex, parent) of the vertices with one
+    link.  Of two that have only each other the smaller stays."""
     leaf = _degrees(edges).where("d = 1").select(F.least("u", "lo").alias("u"), F.greatest("u", "lo").alias("v"), F.col("u").alias("x"))
     off = cut(leaf.groupBy("u", "v").agg(F.max("x").alias("vertex")).select("u", "v", "vertex", F.when(F.col("vertex") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("parent")))
-    return edges.join(off, ["u", "v"], "left_anti"), off.select("vertex", "parent")
+    return edges.join(off, ["u", "v"], "left_anti"), off
 
 
 def rank_chains(chain: DataFrame) -> DataFrame:
@@ -67,13 +67,16 @@ def rank_chains(chain: DataFrame) -> DataFrame:
 
 
 def compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links left, and (vertex, parent) of the vertices with two links."""
+    """A table of the links left, and a table (vertex, parent, a, b) of the
+    vertices with two links."""
     chain = cut(_degrees(edges).where("d = 2").select("u", "lo", "hi"))
-    ranked = cut(rank_chains(chain))
+    ranked = cut(rank_chains(chain).withColumn("parent", F.col("a")))
     inner = chain.select("u")
     rest = edges.join(inner, "u", "left_anti").join(inner.withColumnRenamed("u", "v"), "v", "left_anti").select("u", "v")
     short = ranked.where("a != b").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return rest.unionByName(short).distinct(), ranked.where("vertex != a").select("vertex", F.col("a").alias("parent"))
+    left = cut(rest.unionByName(short).distinct())
+    release(chain)
+    return left, ranked
 
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -81,25 +84,36 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     vertices of one connected group share the label, one of its vertices.
 
     Nulls on either side, self-links, repeats and direction play no part.  No
-    links, no rows."""
+    links, no rows.  Tables of a round are deleted with it, but for the
+    vertices taken off, which go once their labels are restored."""
     x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
     edges = cut(links.select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")).where(x.isNotNull() & y.isNotNull() & (F.col("u") != F.col("v"))).distinct())
     layers: list[DataFrame] = []
     size = edges.count()
     while size:
         left, off = rake(edges)
-        layers.append(off)
-        left, inner = compress(cut(left))
-        layers.append(inner)
-        edges = cut(left)
+        raked = cut(left)
+        left, inner = compress(raked)
+        layers += [off, inner]
+        release(edges)
+        release(raked)
+        edges = left
         now = edges.count()
         shrunk, size = size - now, now
         if shrunk <= WORTHWHILE * (shrunk + size):
             break
-    labels = star_components(edges).where("vertex != label") if size else edges.select(F.col("u").alias("vertex"), F.col("v").alias("label"))
-    for layer in reversed(layers):
-        up = labels.withColumnsRenamed({"vertex": "parent"})
-        labels = cut(labels.unionByName(layer.join(up, "parent", "left").select("vertex", F.coalesce("label", "parent").alias("label"))))
+    labels = cut(star_components(edges).where("vertex != label") if size else edges.select(F.col("u").alias("vertex"), F.col("v").alias("label")))
+    release(edges)
+    while layers:
+        # the two layers of a round in one job
+        own, before = [layers.pop() for _ in range(min(2, len(layers)))], labels
+        for layer in own:
+            up = labels.withColumnRenamed("vertex", "parent")
+            taken = layer.where("vertex != parent").select("vertex", "parent")
+            labels = labels.unionByName(taken.join(up, "parent", "left").select("vertex", F.coalesce("label", "parent").alias("label")))
+        labels = cut(labels)
+        for table in (before, *own):
+            release(table)
     roots = labels.select("label").distinct().select(F.col("label").alias("vertex"), "label")
     return labels.where("vertex != label").unionByName(roots)
 

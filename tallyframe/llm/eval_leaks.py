@@ -24,6 +24,8 @@ from tallyframe.session import spread
 
 #: Words in a row that make a leak, and words of an anchor (half of them).
 LEAST_WORDS, ANCHOR = 12, 6
+#: Folded characters from which an answer has a place in the automaton; shorter ones are looked up where their item is found.
+SHORT_ANSWER = 5
 #: Characters of item text in one automaton; more items than that go in further passes.
 BLOCK_CHARS = 16_000_000
 
@@ -83,6 +85,7 @@ class Items:
         self.least = least
         block = max(1, least // 2)
         self.streams: list[tuple[int, str, list[int]]] = []
+        self.short: list[str] = []
         patterns: dict[str, list[tuple[int, int]]] = {}
         for item_id, text, answer in items:
             # markup is taken out before words are told apart
@@ -95,7 +98,9 @@ class Items:
             self.streams.append((item_id, "".join(words), bounds))
             for i in range(0, len(words) - block + 1, block):
                 patterns.setdefault("".join(words[i : i + block]), []).append((me, bounds[i]))
-            if answer and len(a := fold(answer)) >= 5:
+            a = fold(answer or "")
+            self.short.append(a if len(a) < SHORT_ANSWER else "")
+            if len(a) >= SHORT_ANSWER:
                 patterns.setdefault(a, []).append((me, -1))
         self.automaton = ahocorasick.Automaton()
         for p, places in patterns.items():
@@ -110,11 +115,11 @@ class Items:
         if self.empty or not stream:
             return []
         hits: set[tuple[int, int, int]] = set()
-        answers: set[int] = set()
+        answers: dict[int, list[tuple[int, int]]] = {}
         for last, (size, places) in self.automaton.iter(stream):
             for me, at in places:
                 if at < 0:
-                    answers.add(me)
+                    answers.setdefault(me, []).append((last - size + 1, last + 1))
                 else:
                     hits.add((last - size + 1, me, last - size + 1 - at))
         best: dict[int, tuple[int, int, int]] = {}
@@ -143,13 +148,25 @@ class Items:
                 continue
             if n > best.get(me, (0,))[0]:
                 best[me] = (n, place[0][bounds[on_edge[0]] + shift], place[1][bounds[on_edge[-1]] + shift - 1])
-        return [(self.streams[me][0], *x, me in answers) for me, x in sorted(best.items())]
+        return [(self.streams[me][0], *x, self._answered(me, answers.get(me, []), stream, place[2])) for me, x in sorted(best.items())]
+
+    def _answered(self, me: int, at: list[tuple[int, int]], stream: str, edge: list[bool]) -> bool:
+        """Whether an item's answer stands in the text in whole words.  Short
+        answers, which would hit everywhere, are looked for in texts with a
+        passage of their item only."""
+        if short := self.short[me]:
+            at, i = [], stream.find(short)
+            while i >= 0:
+                at.append((i, i + len(short)))
+                i = stream.find(short, i + 1)
+        return any(edge[i] and edge[j] for i, j in at)
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, n_words, char_start, char_end, answer_seen: one row per
     document and item of which it holds at least ``least_words`` words in a row,
-    with the longest passage and its place in the original text.
+    with the longest passage, its place in the original text, and whether the
+    item's answer stands anywhere in the document in whole words.
 
     ``documents`` needs doc_id and text, ``items`` item_id, item_text and
     answer; other columns play no part.  Null and empty texts match nothing;

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.session import spread
+from tallyframe.session import cut, release, spread
 
 #: Hash buckets of n-grams, and lengths of n-grams.
 BITS, NGRAMS = 15, (1, 2, 3, 4)
@@ -215,7 +215,8 @@ def train(documents: DataFrame, docs_per_label: int = DOCS_PER_LABEL) -> Model:
     share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, docs_per_label / v))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_000)) / 1_000_000
     sample = labelled.where(draw < F.element_at(share, F.col("label"))).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
-    sample = spread(sample.select("half", "label", "text"))
+    # read three times below; its size is bounded by labels and docs_per_label
+    sample = cut(spread(sample.select("half", "label", "text")))
     first = _counts(sample)
     halves = spark.sparkContext.broadcast([model_of({k: v for (h, k), v in first.items() if h == half}).parts() for half in (0, 1)])
     good = {k for k, v in _borne_out(sample, halves).items() if v >= BORNE_OUT}
@@ -223,6 +224,7 @@ def train(documents: DataFrame, docs_per_label: int = DOCS_PER_LABEL) -> Model:
     total: dict[str, np.ndarray] = {}
     for (_, k), v in kept.items():
         total[k] = total.get(k, 0) + v
+    release(sample)
     return model_of(total)
 
 
