@@ -10,7 +10,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
@@ -71,14 +71,22 @@ def opcodes(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pairs(lambda x, y: [(op, i, j, k, m, x[i:j], y[k:m]) for op, i, j, k, m in difflib.SequenceMatcher(None, x, y).get_opcodes()], a, b)
 
 
-@F.pandas_udf(StringType())
-def unified_diff(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _pairs(lambda x, y: "\n".join(difflib.unified_diff(x.splitlines(), y.splitlines(), "a", "b", lineterm="")), a, b)
+def _line_diff(make, a: Column, b: Column, from_label: str, to_label: str, context: int) -> Column:
+    @F.pandas_udf(StringType())
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return _pairs(lambda p, q: "\n".join(make(p.splitlines(), q.splitlines(), from_label, to_label, n=context, lineterm="")), x, y)
 
+    return run(a, b)
+
+
+def unified_diff(a: Column, b: Column, from_label: str = "a", to_label: str = "b", context: int = 3) -> Column:
+    """Changed lines with ``context`` lines around them; empty for equal texts, null if either is null."""
+    return _line_diff(difflib.unified_diff, a, b, from_label, to_label, context)
 
-@F.pandas_udf(StringType())
-def context_diff(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _pairs(lambda x, y: "\n".join(difflib.context_diff(x.splitlines(), y.splitlines(), "a", "b", lineterm="")), a, b)
+
+def context_diff(a: Column, b: Column, from_label: str = "a", to_label: str = "b", context: int = 3) -> Column:
+    """Changed stretches before and after, with ``context`` lines around them."""
+    return _line_diff(difflib.context_diff, a, b, from_label, to_label, context)
 
 
 @F.pandas_udf(StringType())
@@ -123,3 +131,23 @@ def map_difference(a: Column, b: Column) -> Column:
         F.array_sort(F.array_except(F.map_keys(b), F.map_keys(a))).alias("added"), F.array_sort(F.array_except(F.map_keys(a), F.map_keys(b))).alias("removed"),
         F.array_sort(F.filter(common, lambda k: ~same(k))).alias("changed"), F.array_sort(F.filter(common, same)).alias("unchanged"),
     )
+
+
+@F.pandas_udf(DoubleType())
+def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp ratio of two lists, element by element as text; 1 for
+    two empty lists, null if either is null."""
+    text = lambda xs: ["" if x is None else str(x) for x in xs]
+    return _pairs(lambda x, y: difflib.SequenceMatcher(None, text(x), text(y)).ratio(), a, b).astype(float)
+
+
+def paired_differences(df: DataFrame, before: str, after: str) -> DataFrame:
+    """A row for each place that two array columns both have: the other columns,
+    index (from 0), before, after (null reads as empty), similarity, opcodes and
+    explanation."""
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in (before, after)]
+    pairs = F.arrays_zip(F.col(f"`{before}`").cast("array<string>").alias("x"), F.col(f"`{after}`").cast("array<string>").alias("y"))
+    both = F.slice(pairs, 1, F.least(F.size(f"`{before}`"), F.size(f"`{after}`")))
+    rows = df.where(F.col(f"`{before}`").isNotNull() & F.col(f"`{after}`").isNotNull()).select(*keep, F.posexplode(both).alias("index", "__p"))
+    x, y = F.coalesce("__p.x", F.lit("")), F.coalesce("__p.y", F.lit(""))
+    return rows.select(*keep, "index", x.alias("before"), y.alias("after"), similarity(x, y).alias("similarity"), opcodes(x, y).alias("opcodes"), explanation(x, y).alias("explanation"))

@@ -207,9 +207,10 @@ def apply_feedback(findings: DataFrame, tallies: DataFrame, strategy: str = "thr
 
 
 def feedback_stats(feedback: DataFrame) -> DataFrame:
-    """Totals over all feedback: n, confirmed, dismissed, confirmation_rate, patterns, suppressed_patterns."""
+    """Totals over all feedback: n, confirmed, dismissed, confirmation_rate, patterns, suppressed_patterns, active_patterns."""
     t = feedback_tallies(feedback)
     g = t.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("confirmed"), F.lit(0)).alias("confirmed"), F.coalesce(F.sum("dismissed"), F.lit(0)).alias("dismissed"), F.count("*").alias("patterns"), F.count_if((F.col("dismissed") > DISMISSALS) & (F.col("confirmed") == 0)).alias("suppressed_patterns"))
+    g = g.withColumn("active_patterns", F.col("patterns") - F.col("suppressed_patterns"))
     return g.withColumn("confirmation_rate", F.when(F.col("n") > 0, F.round(F.col("confirmed") / F.col("n"), 4)))
 
 
@@ -303,13 +304,17 @@ def reconcile_findings(verified: DataFrame, outliers: DataFrame) -> DataFrame:
     return one.withColumn("severity_rank", rank)
 
 
-def detect(rows: DataFrame, rules: Sequence[Rule], columns: Sequence[str], feedback: DataFrame | None = None, least_confidence: float = 0.0) -> DataFrame:
-    """The scan of all files in one plan, with limits and feedback."""
-    found = within_limits(rows, cut(scan(rows, rules, columns, least_confidence)))
+def detect(rows: DataFrame, rules: Sequence[Rule], columns: Sequence[str], feedback: DataFrame | None = None, least_confidence: float = 0.0, most: int | None = MOST_FINDINGS) -> DataFrame:
+    """The scan of all files in one plan, with feedback; with ``most`` also the
+    limits of ``within_limits``, without it every row of every file counts."""
+    found = scan(rows, rules, columns, least_confidence)
+    if most is not None:
+        found = within_limits(rows, cut(found), most)
     return apply_feedback(found, feedback_tallies(feedback)) if feedback is not None else found
 
 
-def detect_and_verify(rows: DataFrame, rules: Sequence[Rule], columns: Sequence[str], feedback: DataFrame | None = None) -> DataFrame:
-    found = detect(rows, rules, columns, feedback)
+def detect_and_verify(rows: DataFrame, rules: Sequence[Rule], columns: Sequence[str], feedback: DataFrame | None = None, most: int | None = MOST_FINDINGS) -> DataFrame:
+    """Findings of ``detect`` after triage and verification, with outliers of the numbers beside them."""
+    found = detect(rows, rules, columns, feedback, most=most)
     order = F.row_number().over(Window.partitionBy("file", "row_index").orderBy("rule_id", "field"))
     return reconcile_findings(verify(triage(found.withColumn("candidate", order), columns)), numeric_outliers(rows))

@@ -4,13 +4,17 @@ Two texts of lengths m and n with ratio at least t differ by at most
 (1 - t)(m + n) insertions and deletions, so one of that many plus one segments
 of the one stands in the other.  Candidates meet on such segments, within the
 lengths the ratio allows, instead of in a product of all texts; a bound from
-lengths and the exact ratio follow.  Texts too short to be cut that often, or a
-low threshold, meet by length alone.
+lengths and letters and the exact ratio follow.  Texts too short to be cut that
+often into two letters or more, as with a low threshold (below about 85 for
+texts of 20 letters), meet by length alone, each pair once and in cells, so
+that no task has all texts of a length.  That part is quadratic in the texts of
+like length, which such thresholds ask for: they call most of them near.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tallyframe.functions.similarity import indel
+from tallyframe.functions.similarity import indel, similarity
 from tallyframe.session import cut, release
 
+#: Cells into which the texts of one length are spread where they meet by length alone.
+CELLS = 16
 _KEYS = StructType([StructField("ix", ArrayType(LongType())), StructField("pr", ArrayType(LongType()))])
 
 
@@ -32,7 +38,7 @@ def _lengths(n: int, t: float) -> tuple[int, int]:
 def _cuts(n: int, t: float) -> tuple[int, list[tuple[int, int]]]:
     """The edits allowed for a text of length n, and its segments (start, length)."""
     k = math.floor((1 - t) * (n + _lengths(n, t)[1]) + 1e-9)
-    if k >= n:
+    if 2 * (k + 1) > n:  # segments of single letters would let pairs meet many times over
         return k, []
     short, longer = divmod(n, k + 1)
     out, at = [], 0
@@ -47,14 +53,14 @@ def segment_keys(text: str, t: float) -> tuple[list[tuple], list[tuple]]:
     """Keys under which a text is filed, and under which it looks for others."""
     n = len(text)
     _, own = _cuts(n, t)
-    ix = [(n, i, text[a : a + s]) for i, (a, s) in enumerate(own)] or [(n, -1, "")]
+    ix = [(n, i, text[a : a + s]) for i, (a, s) in enumerate(own)] or [(n, -1, str(zlib.crc32(text.encode()) % CELLS))]
     pr: set[tuple] = set()
     lo, hi = _lengths(n, t)
     for m in range(lo, hi + 1):
         k, cuts = _cuts(m, t)
         k = min(k, math.floor((1 - t) * (m + n) + 1e-9))
         if not cuts:
-            pr.add((m, -1, ""))
+            pr |= {(m, -1, str(c)) for c in range(CELLS)}
         for i, (a, s) in enumerate(cuts):
             # of the segments that survive, one has at most i edits before and k - i after it
             lo_p, hi_p = max(0, a - i, a + n - m - (k - i)), min(n - s, a + i, a + n - m + (k - i))
@@ -93,6 +99,21 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     return met.withColumn("most", most).where(F.expr("levenshtein(a, b, most) >= 0")).drop("most").withColumn("score", indel("a", "b")).where(F.col("score") >= threshold)
 
 
+def difflib_matches(words: DataFrame, word: str, candidates: DataFrame, candidate: str, n: int = 5, cutoff: float = 0.6) -> DataFrame:
+    """(word, candidate, similarity, rank): the ``n`` best candidates of each
+    word by the Ratcliff-Obershelp ratio, from ``cutoff`` on; ties go to the
+    greater candidate.  That ratio never exceeds the Indel ratio, since matching
+    blocks are a common subsequence, so the similarity join finds all of them."""
+    from pyspark.sql import Window
+
+    one = lambda df, c: df.select(F.col(f"`{c}`").cast("string").alias("v"))
+    near = similar_pairs(one(words, word), one(candidates, candidate), cutoff * 100)
+    scored = near.withColumn("s", similarity("b", "a")).where(F.col("s") >= cutoff)
+    w = Window.partitionBy("a").orderBy(F.desc("s"), F.desc("b"))
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return best.select(F.col("a").alias("word"), F.col("b").alias("candidate"), similarity("a", "b").alias("similarity"), "rank")
+
+
 def fuzzy_match(a: DataFrame, column_a: str, b: DataFrame, column_b: str, threshold: float = 80) -> DataFrame:
     """(value_a, value_b, score): for each distinct value of ``a`` its best match
     in ``b``; ties go to the least value."""

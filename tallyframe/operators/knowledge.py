@@ -92,3 +92,13 @@ def load_rules(spark: SparkSession, folder: str, types: tuple[str, ...] = NODE_T
     """Rules of all JSON documents of a folder; broken documents give none."""
     docs = spark.read.schema(NODES).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(folder)
     return knowledge_rules(docs.select(F.col("_metadata.file_path").alias("file"), "nodes").where("nodes is not null"), types)
+
+
+def fenced_json(text: Column) -> Column:
+    """The JSON object in a model's answer, in compact form: the whole text
+    without code fences, or else what stands from its first to its last brace;
+    ``{}`` where neither is JSON."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    braces = F.regexp_extract(bare, r"\{[\s\S]*\}", 0)
+    parsed = lambda c: F.to_json(F.try_parse_json(F.nullif(c, F.lit(""))))
+    return F.coalesce(parsed(bare), parsed(braces), F.lit("{}"))

@@ -11,48 +11,57 @@ from tallyframe.operators.graph import star_components
 #: Weights of name, formula, meaning and archetype; least score; mentions of a file; size of a cluster.
 WEIGHTS, THRESHOLD, MENTIONS_PER_FILE, LARGEST_CLUSTER = (0.40, 0.25, 0.25, 0.10), 0.60, 50, 100
 #: Terms that mean the same.
-SYNONYMS = """
-revenue|net sales|sales revenue|turnover|net revenue|gross revenue|total revenue
-cost of sales|cost of goods sold|cogs|cost of revenue
-sg&a|selling general and administrative|operating expenses|opex
-additional paid-in capital|apic|share premium|capital surplus
-treasury stock|treasury shares|own shares held
-accounts receivable|trade receivables|trade and other receivables|a/r|ar
-accounts payable|trade payables|trade and other payables|a/p|ap
-retained earnings|accumulated profits|revenue reserves
-goodwill|goodwill on acquisition
-inventory|inventories|stock|merchandise
-property plant and equipment|ppe|fixed assets|tangible assets
-intangible assets|intangibles
-depreciation|depreciation expense|depreciation and amortisation|d&a
-amortization|amortisation|amortization expense
-cecl|current expected credit loss|expected credit loss|ecl|allowance for credit losses
-right-of-use asset|rou asset|lease asset|operating lease rou
-lease liability|operating lease liability|finance lease liability
-cash and cash equivalents|cash|cash & equivalents|liquid assets
-operating cash flow|cash from operations|cfo
-income tax expense|tax expense|provision for income taxes|tax provision
-deferred tax asset|dta|deferred tax
-deferred tax liability|dtl
-common stock|ordinary shares|share capital|capital stock
-preferred stock|preference shares
-intercompany receivable|ic receivable|due from affiliate|due from related party
-intercompany payable|ic payable|due to affiliate|due to related party
-net income|net profit|profit for the period|net earnings|bottom line
-gross profit|gross margin
-operating income|operating profit|ebit
-ebitda|earnings before interest taxes depreciation amortization
-"""
+SYNONYMS = (
+    ("revenue", "net sales", "sales revenue", "turnover", "net revenue", "gross revenue", "total revenue"),
+    ("cost of sales", "cost of goods sold", "cogs", "cost of revenue"),
+    ("sg&a", "selling general and administrative", "operating expenses", "opex"),
+    ("additional paid-in capital", "apic", "share premium", "capital surplus"),
+    ("treasury stock", "treasury shares", "own shares held"),
+    ("accounts receivable", "trade receivables", "trade and other receivables", "a/r", "ar"),
+    ("accounts payable", "trade payables", "trade and other payables", "a/p", "ap"),
+    ("retained earnings", "accumulated profits", "revenue reserves"),
+    ("goodwill", "goodwill on acquisition"),
+    ("inventory", "inventories", "stock", "merchandise"),
+    ("property plant and equipment", "ppe", "fixed assets", "tangible assets"),
+    ("intangible assets", "intangibles"),
+    ("depreciation", "depreciation expense", "depreciation and amortisation", "d&a"),
+    ("amortization", "amortisation", "amortization expense"),
+    ("cecl", "current expected credit loss", "expected credit loss", "ecl", "allowance for credit losses"),
+    ("right-of-use asset", "rou asset", "lease asset", "operating lease rou"),
+    ("lease liability", "operating lease liability", "finance lease liability"),
+    ("cash and cash equivalents", "cash", "cash & equivalents", "liquid assets"),
+    ("operating cash flow", "cash from operations", "cfo"),
+    ("income tax expense", "tax expense", "provision for income taxes", "tax provision"),
+    ("deferred tax asset", "dta", "deferred tax"),
+    ("deferred tax liability", "dtl"),
+    ("common stock", "ordinary shares", "share capital", "capital stock"),
+    ("preferred stock", "preference shares"),
+    ("intercompany receivable", "ic receivable", "due from affiliate", "due from related party"),
+    ("intercompany payable", "ic payable", "due to affiliate", "due to related party"),
+    ("net income", "net profit", "profit for the period", "net earnings", "bottom line"),
+    ("gross profit", "gross margin"),
+    ("operating income", "operating profit", "ebit"),
+    ("ebitda", "earnings before interest taxes depreciation amortization"),
+)
 #: Archetypes by group, and scores of pairs of groups.
 GROUPS = {"finance": ("Financial Report", "Financial Statement", "Budget", "Forecast", "Consolidation"), "data": ("Data Extract", "Data Export", "Database Extract"), "model": ("Model/Template", "Template", "Calculation Model"), "reporting": ("Dashboard", "Report", "Analysis")}
 GROUP_SCORES = {("finance", "reporting"): 0.7, ("finance", "model"): 0.6, ("model", "reporting"): 0.5}
 #: Words that say nothing in long names, and words that tell of a domain.
-STOP_WORDS = "the a an of for in on to and or is are was by from with as at this that it its calculate calculates calculated calculation calculations compute computes computed determine determines determined value values data based used using".split()
+STOP_WORDS = (
+    "the", "a", "an", "of", "for", "in", "on", "to", "and", "or", "is", "are", "was", "by", "from", "with", "as", "at",
+    "this", "that", "it", "its", "calculate", "calculates", "calculated", "calculation", "calculations", "compute", "computes", "computed", "determine", "determines", "determined", "value", "values", "data",
+    "based", "used", "using",
+)
 DOMAINS = {
-    "revenue": "revenue sales income turnover top_line", "expense": "expense cost spend opex cogs overhead", "balance": "balance asset liability equity net_worth",
-    "margin": "margin gross_margin net_margin ebitda profit", "account": "account acct gl_ ledger chart_of_accounts coa", "tax": "tax vat gst withholding",
-    "intercompany": "interco intercompany elimination consolidation", "headcount": "headcount fte employee personnel salary wage",
-}
+    "revenue": ("revenue", "sales", "income", "turnover", "top_line"),
+    "expense": ("expense", "cost", "spend", "opex", "cogs", "overhead"),
+    "balance": ("balance", "asset", "liability", "equity", "net_worth"),
+    "margin": ("margin", "gross_margin", "net_margin", "ebitda", "profit"),
+    "account": ("account", "acct", "gl_", "ledger", "chart_of_accounts", "coa"),
+    "tax": ("tax", "vat", "gst", "withholding"),
+    "intercompany": ("interco", "intercompany", "elimination", "consolidation"),
+    "headcount": ("headcount", "fte", "employee", "personnel", "salary", "wage"),
+}
 
 
 def normalized_name(c: Column) -> Column:
@@ -61,7 +70,7 @@ def normalized_name(c: Column) -> Column:
 
 
 def _synonym_set(c: Column) -> Column:
-    terms = [(t, i) for i, line in enumerate(SYNONYMS.split("\n")) for t in line.split("|") if t]
+    terms = [(t, i) for i, same in enumerate(SYNONYMS) for t in same]
     return F.try_element_at(F.create_map(*[F.lit(x) for p in terms for x in p]), F.lower(F.trim(c)))
 
 
@@ -141,33 +150,53 @@ def link_pairs(mentions: DataFrame, threshold: float = THRESHOLD, blocked: bool
     return parts.withColumn("composite_score", F.round(total, 4)).where(F.col("composite_score") >= threshold)
 
 
-def clusters(mentions: DataFrame, links: DataFrame, largest: int = LARGEST_CLUSTER) -> DataFrame:
-    """cluster_id, canonical_name, domain, n_mentions, n_files, avg_score and the
-    conflicts found (formula_mismatch, sign_reversal) of the connected groups of
-    up to ``largest`` mentions.  The canonical name is that of the first mention
+def clusters(mentions: DataFrame, links: DataFrame, largest: int = LARGEST_CLUSTER, drop_larger: bool = False) -> DataFrame:
+    """cluster_id, canonical_name, domain, n_mentions, n_files, avg_score, the
+    conflicts found (formula_mismatch, sign_reversal) and over_limit of the
+    connected groups; groups of more than ``largest`` mentions are marked so, or
+    left out if asked.  The canonical name is that of the first mention
     of the best link (ties: shorter, then lesser name).  The id is a hash of the
     least member."""
     comp = star_components(links.select(F.col("mention_a_id").alias("u"), F.col("mention_b_id").alias("v")))
     member = mentions.join(comp.withColumnRenamed("vertex", "mention_id"), "mention_id")
     text = F.concat_ws(" ", "normalized_name", F.lower("business_meaning"))
-    flags = {(d, i): F.max(F.coalesce(text.contains(w), F.lit(False))).alias(f"d_{d}_{i}") for d, words in DOMAINS.items() for i, w in enumerate(words.split())}
+    flags = {(d, i): F.max(F.coalesce(text.contains(w), F.lit(False))).alias(f"d_{d}_{i}") for d, words in DOMAINS.items() for i, w in enumerate(words)}
     shape = F.regexp_replace("formula", r"[A-Z]+\d+(?::[A-Z]+\d+)?", "REF")
     stats = member.groupBy("label").agg(
         F.count("*").alias("n_mentions"), F.count_distinct("file_path").alias("n_files"), *flags.values(), F.count_distinct(F.when(F.col("formula") != "", shape)).alias("shapes"),
         F.max(F.coalesce(F.upper("formula").contains("SUM"), F.lit(False))).alias("adds"), F.max(F.coalesce(F.col("formula").startswith("-"), F.lit(False)) | F.coalesce(F.upper("business_meaning").contains("SUBTRACT"), F.lit(False))).alias("subtracts"),
     )
-    score = {d: sum((F.col(f"d_{d}_{i}").cast("int") for i in range(len(words.split()))), F.lit(0)) for d, words in DOMAINS.items()}
+    score = {d: sum((F.col(f"d_{d}_{i}").cast("int") for i in range(len(words))), F.lit(0)) for d, words in DOMAINS.items()}
     best = F.array_max(F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("o"), F.lit(d).alias("d")) for i, (d, s) in enumerate(score.items())]))
     domain = F.when(best["s"] > 0, best["d"]).otherwise("general")
     names = mentions.select(F.col("mention_id").alias("mention_a_id"), "raw_name")
     scored = links.join(comp.select(F.col("vertex").alias("mention_a_id"), "label"), "mention_a_id").join(names, "mention_a_id")
     canon = scored.groupBy("label").agg(F.max_by("raw_name", F.struct("composite_score", -F.length("raw_name"), F.sha2("raw_name", 256))).alias("canonical_name"), F.round(F.avg("composite_score"), 4).alias("avg_score"), F.count("*").alias("n_links"))
-    return stats.where(F.col("n_mentions") <= largest).join(canon, "label").select(
+    kept = stats.where(F.col("n_mentions") <= largest) if drop_larger else stats
+    return kept.join(canon, "label").select(
         F.concat(F.lit("cluster_"), F.substring(F.sha2("label", 256), 1, 12)).alias("cluster_id"), "label", "canonical_name", domain.alias("domain"), "n_mentions", "n_files", "n_links", "avg_score",
         F.array_compact(F.array(F.when(F.col("shapes") > 1, "formula_mismatch"), F.when(F.col("adds") & F.col("subtracts"), "sign_reversal"))).alias("conflicts"),
+        (F.col("n_mentions") > largest).alias("over_limit"),
     )
 
 
+def cluster_members(mentions: DataFrame, links: DataFrame) -> DataFrame:
+    """label, mention_id, raw_name, file_path of every linked mention."""
+    comp = star_components(links.select(F.col("mention_a_id").alias("u"), F.col("mention_b_id").alias("v")))
+    return comp.withColumnRenamed("vertex", "mention_id").join(mentions, "mention_id").select("label", "mention_id", "raw_name", "file_path")
+
+
+def entity_map(cluster_rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Clusters with their members as an array (by id), the largest first, then by name."""
+    m = members.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("mention_id", "raw_name", "file_path"))).alias("mentions"))
+    return cluster_rows.join(m, "label").orderBy(F.desc("n_mentions"), "canonical_name", "cluster_id")
+
+
+def cluster_by_id(cluster_rows: DataFrame, cluster_id: str) -> DataFrame:
+    """The cluster of that id; no row for none."""
+    return cluster_rows.where(F.col("cluster_id") == cluster_id)
+
+
 def find_entity(cluster_rows: DataFrame, member_names: DataFrame, query: str, top: int = 5, least: float = 0.3) -> DataFrame:
     """The ``top`` clusters whose canonical or members' names (label, raw_name) are most like ``query``."""
     names = cluster_rows.select("label", F.col("canonical_name").alias("raw_name")).unionByName(member_names.select("label", "raw_name"))
@@ -191,7 +220,7 @@ def names_in(text: Column) -> Column:
     return F.concat(F.transform(quoted, F.trim), snake, camel, trimmed)
 
 
-def mentions_from_dna(documents: DataFrame, most: int | None = MENTIONS_PER_FILE) -> DataFrame:
+def mentions_from_dna(documents: DataFrame, most: int | None = None) -> DataFrame:
     """Mentions in formula descriptions: documents with file_path, archetype and
     formula_intents (cell_ref, raw_formula, business_meaning), and cross_references
     (relationship, source_cell, target_cell) if there.  A meaning that names

@@ -1,6 +1,6 @@
 """Profiles, schema drift, expectation suites and their validation.
 
-All figures of a table come from one wide aggregation over one scan.
+Figures of all columns come from one scan, in long form: a row per column.
 """
 
 from __future__ import annotations
@@ -8,9 +8,11 @@ from __future__ import annotations
 import difflib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyframe.session import cut
+
 #: Names of types in reports, and conversions that lose nothing.
 TYPE_NAMES = {"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint": "int8", "double": "float64", "float": "float32", "string": "object", "boolean": "bool", "timestamp": "datetime64[ns]", "timestamp_ntz": "datetime64[ns]", "date": "datetime64[ns]"}
 SAFE_CONVERSIONS = {("int64", "float64"), ("int32", "int64"), ("float32", "float64"), ("int64", "object"), ("float64", "object"), ("bool", "object")}
@@ -32,11 +34,18 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     (> 0.99), high_cardinality (> 0.9), low_cardinality (< 0.1).
 
     ``approximate`` counts distinct values by sketches: one pass with constant
-    memory for each column instead of a shuffle of the values."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    one = df.agg(F.count("*").alias("__n"), *[x for i, c in enumerate(df.columns) for x in (F.count(_c(c)).alias(f"v{i}"), distinct(_c(c)).alias(f"d{i}"))])
-    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(type_name(t)).alias("data_type"), F.col("__n").alias("n_rows"), (F.col("__n") - F.col(f"v{i}")).alias("n_null"), F.col(f"d{i}").alias("n_distinct")) for i, (c, t) in enumerate(df.dtypes)]
-    long = one.select(F.inline(F.array(*rows)))
+    memory for each column instead of a shuffle of the distinct values."""
+    kinds = df.sparkSession.createDataFrame([(i, c, type_name(t)) for i, (c, t) in enumerate(df.dtypes)], "__i int, column_name string, data_type string")
+    if approximate:
+        one = df.agg(F.count("*").alias("__n"), *[x for i, c in enumerate(df.columns) for x in (F.count(_c(c)).alias(f"v{i}"), F.approx_count_distinct(_c(c)).alias(f"d{i}"))])
+        per = one.select(F.inline(F.array(*[F.struct(F.lit(i).alias("__i"), F.col("__n").alias("n_rows"), (F.col("__n") - F.col(f"v{i}")).alias("n_null"), F.col(f"d{i}").alias("n_distinct")) for i in range(len(df.columns))])))
+    else:
+        # (column, value) pairs, counted before they are shuffled: a column of few values moves as few rows
+        text = lambda c, t: (_c(c) + F.lit(0.0) if t in ("double", "float") else _c(c)).cast("string")
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("__i"), text(c, t).alias("v")) for i, (c, t) in enumerate(df.dtypes)])))
+        values = long.groupBy("__i", "v").agg(F.count("*").alias("n"))
+        per = values.groupBy("__i").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_null"), F.count("v").alias("n_distinct"))
+    long = kinds.join(per, "__i", "left").select("column_name", "data_type", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_rows", "n_null", "n_distinct")])
     card = F.when(F.col("n_rows") > 0, F.col("n_distinct") / F.col("n_rows"))
     return long.select("*", F.when(F.col("n_rows") > 0, F.round(F.col("n_null") * 100.0 / F.col("n_rows"), 2)).alias("null_pct"), card.alias("cardinality"), F.coalesce(card > 0.99, F.lit(False)).alias("potential_key"), F.coalesce(card > 0.9, F.lit(False)).alias("high_cardinality"), F.coalesce(card < 0.1, F.lit(False)).alias("low_cardinality"))
 
@@ -49,16 +58,39 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def describe_numbers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """count, mean, sample deviation, least, quartiles (interpolated) and greatest of number columns."""
+    """count, mean, sample deviation, least, quartiles
+    (interpolated, NaN left out) and greatest of number columns."""
     names = list(columns) if columns else [c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")]
     if not names:
         return df.sparkSession.createDataFrame([], "column_name string, n long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
     x = lambda c: _c(c).cast("double")
-    one = df.agg(*[e for i, c in enumerate(names) for e in (F.count(_c(c)).alias(f"n{i}"), F.avg(x(c)).alias(f"m{i}"), F.stddev_samp(x(c)).alias(f"s{i}"), F.min(x(c)).alias(f"l{i}"), F.percentile(x(c), [0.25, 0.5, 0.75]).alias(f"q{i}"), F.max(x(c)).alias(f"h{i}"))])
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"), F.col(f"l{i}").alias("min"), F.col(f"q{i}")[0].alias("q25"), F.col(f"q{i}")[1].alias("q50"), F.col(f"q{i}")[2].alias("q75"), F.col(f"h{i}").alias("max"))
-        for i, c in enumerate(names)
-    ])))
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), x(c).alias("v")) for c in names]))).where("v is not null")
+    stats = cut(long.groupBy("column_name").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.count_if(~F.isnan("v")).alias("n_ranked"), F.min(F.when(~F.isnan("v"), F.col("v"))).alias("lo"), F.max(F.when(~F.isnan("v"), F.col("v"))).alias("hi")))
+    quartiles = _quantiles(long.where(~F.isnan("v")), stats, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    base = df.sparkSession.createDataFrame([(c,) for c in names], "column_name string")
+    return base.join(stats, "column_name", "left").join(quartiles, "column_name", "left").select("column_name", F.coalesce("n", F.lit(0)).alias("n"), "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
+def _quantiles(long: DataFrame, stats: DataFrame, wanted: dict[str, float], buckets: int = 1000) -> DataFrame:
+    """Exact interpolated quantiles of (column_name, v).  Values are counted,
+    the counts summed by bucket of the value range, and only the few buckets in
+    which a wanted rank falls are put in order, each in a task of its own."""
+    counts = long.groupBy("column_name", "v").agg(F.count("*").alias("c")).join(F.broadcast(stats.select("column_name", "lo", "hi")), "column_name")
+    share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    b = counts.select("column_name", "v", "c", F.when(F.col("v") <= F.col("lo"), 0).when(F.col("v") >= F.col("hi"), buckets).otherwise(F.coalesce(F.floor(share * buckets), F.lit(0))).cast("int").alias("bucket"))
+    b = cut(b)
+    w = Window.partitionBy("column_name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = b.groupBy("column_name", "bucket").agg(F.sum("c").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(w), F.lit(0)))
+    at = lambda q: F.lit(q) * (F.col("n_ranked") - 1)
+    ranks = stats.where("n_ranked > 0").select("column_name", F.inline(F.array(*[F.struct(F.lit(f"{k}{e}").alias("name"), f(at(q)).cast("long").alias("rank")) for k, q in wanted.items() for e, f in (("_lo", F.floor), ("_hi", F.ceil))])))
+    falls = ranks.join(sums, "column_name").where("rank >= before and rank < before + t").select("column_name", "bucket", "name", "rank", "before")
+    inside = Window.partitionBy("column_name", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = b.join(F.broadcast(falls.select("column_name", "bucket").distinct()), ["column_name", "bucket"], "left_semi").withColumn("upto", F.sum("c").over(inside))
+    hit = ordered.join(F.broadcast(falls), ["column_name", "bucket"]).where((F.col("rank") < F.col("before") + F.col("upto")) & (F.col("rank") >= F.col("before") + F.col("upto") - F.col("c")))
+    picked = hit.groupBy("column_name").agg(*[F.max(F.when(F.col("name") == f"{k}{e}", F.col("v"))).alias(f"{k}{e}") for k in wanted for e in ("_lo", "_hi")])
+    part = lambda q: at(q) - F.floor(at(q))
+    value = lambda k, q: F.when(F.col(f"{k}_lo") == F.col(f"{k}_hi"), F.col(f"{k}_lo")).otherwise(F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * part(q))
+    return picked.join(stats.select("column_name", "n_ranked"), "column_name").select("column_name", *[value(k, q).alias(k) for k, q in wanted.items()])
 
 
 def describe_texts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -98,11 +130,11 @@ def drift(a: DataFrame, b: DataFrame) -> DataFrame:
 SUITE = "expectation string, column_name string, least double, most double, value string"
 
 
-def suite(df: DataFrame, null_threshold: float = 5.0, uniqueness: float = 0.99) -> DataFrame:
+def suite(df: DataFrame, null_threshold: float = 5.0, uniqueness: float = 0.99, approximate: bool = False) -> DataFrame:
     """Expectations that the table itself suggests: its columns, a row count of
     half to one and a half times its own, columns without many nulls, unique
     columns, and types.  For no rows: columns and types."""
-    p = column_profile(df)
+    p = column_profile(df, approximate)
     each = F.array_compact(F.array(
         F.when(F.col("null_pct") <= null_threshold, F.struct(F.lit("not_null").alias("expectation"), F.lit(None).cast("string").alias("value"))),
         F.when(F.col("cardinality") >= uniqueness, F.struct(F.lit("unique").alias("expectation"), F.lit(None).cast("string").alias("value"))),
@@ -116,14 +148,13 @@ def suite(df: DataFrame, null_threshold: float = 5.0, uniqueness: float = 0.99)
     return names.unionByName(count).unionByName(cols)
 
 
-def validate(df: DataFrame, expectations: DataFrame) -> DataFrame:
+def validate(df: DataFrame, expectations: DataFrame, approximate: bool = False) -> DataFrame:
     """``expectations`` with passed and observed.  Uniqueness counts a null as a
     value; a column that is gone fails; unknown expectations are left out."""
-    p = column_profile(df)
-    dup = df.agg(*[(F.count("*") - F.count_distinct(F.struct(_c(c)))).alias(f"u{i}") for i, c in enumerate(df.columns)]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"u{i}").alias("n_repeats")) for i, c in enumerate(df.columns)])))
+    p = column_profile(df, approximate).withColumn("n_repeats", F.col("n_rows") - F.col("n_distinct") - F.least(F.col("n_null"), F.lit(1)))
     # expectations of the whole table meet the row named ""
     whole = p.agg(F.max("n_rows").alias("n_rows")).select(F.lit("").alias("column_name"), "n_rows")
-    m = p.join(dup, "column_name").unionByName(whole, allowMissingColumns=True).withColumnRenamed("column_name", "__c")
+    m = p.unionByName(whole, allowMissingColumns=True).withColumnRenamed("column_name", "__c")
     known = expectations.where(F.col("expectation").isin("columns_exist", "row_count", "not_null", "unique", "type"))
     j = known.join(F.broadcast(m), F.coalesce("column_name", F.lit("")) == F.col("__c"), "left")
     have = F.array(*[F.lit(c) for c in df.columns])
@@ -144,3 +175,20 @@ def validation_summary(validated: DataFrame) -> DataFrame:
     """total, n_passed, n_failed, success_pct (one decimal; null for none)."""
     g = validated.agg(F.count("*").alias("total"), F.count_if("passed").alias("n_passed"))
     return g.select("total", "n_passed", (F.col("total") - F.col("n_passed")).alias("n_failed"), F.when(F.col("total") > 0, F.round(F.col("n_passed") * 100.0 / F.col("total"), 1)).alias("success_pct"))
+
+
+def keep_suite(expectations: DataFrame, path: str, name: str, source: str = "") -> None:
+    """Writes a suite under its name, which replaces one of that name."""
+    out = expectations.withColumns({"suite": F.lit(name), "source_file": F.lit(source)})
+    out.repartition(1).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("suite").json(path)
+
+
+def list_suites(spark: SparkSession, path: str) -> DataFrame:
+    """name, source_file and expectations_count of the suites kept in a folder."""
+    rows = spark.read.schema(f"{SUITE}, source_file string, suite string").json(path)
+    return rows.groupBy(F.col("suite").alias("name")).agg(F.max("source_file").alias("source_file"), F.count("*").alias("expectations_count"))
+
+
+def read_suite(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One suite of the folder."""
+    return spark.read.schema(f"{SUITE}, source_file string, suite string").json(path).where(F.col("suite") == name).drop("suite", "source_file")

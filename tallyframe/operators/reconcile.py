@@ -91,6 +91,26 @@ def orphans(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return a.join(other, cond, "left_anti")
 
 
+def orphan_details(a: DataFrame, b: DataFrame, keys: Sequence[str], source: str = "both", limit: int | None = 10, order: Sequence[str] = ()) -> DataFrame:
+    """Orphans of source ``a``, ``b`` or ``both``: source, total (of that source)
+    and the row as JSON; the first ``limit`` of each source by ``order`` and the
+    keys, all for None."""
+    if source not in ("a", "b", "both"):
+        raise ValueError(f"unknown source: {source}")
+    out = None
+    for tag, x, y in (("a", a, b), ("b", b, a)):
+        if source not in (tag, "both"):
+            continue
+        found = orphans(x, y, keys)
+        by = [F.col(f"`{c}`") for c in dict.fromkeys([*order, *keys])]
+        total = found.agg(F.count("*").alias("total"))
+        shown = found if limit is None else found.orderBy(*by).limit(limit)
+        one = shown.select(F.lit(tag).alias("source"), *[c.alias(f"__o{i}") for i, c in enumerate(by)], F.to_json(F.struct(*[F.col(f"`{c}`") for c in x.columns])).alias("row"))
+        one = one.crossJoin(F.broadcast(total)).select("source", "total", "row")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def conflicts(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, order: Sequence[str] = ()) -> DataFrame:
     """Keys, column_name, value_a, value_b of every differing field of common keys."""
     cols = compared_columns(a, keys, columns)

@@ -3,6 +3,7 @@ and recommendations over template indexes."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -12,6 +13,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators import hierarchy
+
 #: Short names of statement types.
 STATEMENTS = {"pl": "income_statement", "p&l": "income_statement", "profit_loss": "income_statement", "income": "income_statement", "bs": "balance_sheet", "balance": "balance_sheet", "cf": "cash_flow", "cash": "cash_flow"}
 
@@ -36,6 +39,31 @@ def recommend(index: DataFrame, industry: str = "", statement: str = "", top: in
     return r.where("__any").drop("__any").orderBy(F.desc("score"), "id").limit(top)
 
 
+def template_rows(nodes: DataFrame, tree: str = "template") -> DataFrame:
+    """A project's nodes (hierarchy_id, parent_id and other columns) as the rows
+    of a template: with ``level``, one more than that of the parent; a parent
+    that is no node counts as one level above it.  Nodes on or below a loop have
+    none.  The first levels come first, then by sort_order and id."""
+    one = nodes.drop("level").withColumns({"__tree": F.lit(tree), "parent_id": F.nullif(F.trim("parent_id"), F.lit(""))})
+    # a parent that is missing stands as a root of its own
+    gone = one.select(F.col("parent_id").alias("hierarchy_id")).where("hierarchy_id is not null").distinct().join(one.select("hierarchy_id"), "hierarchy_id", "left_anti")
+    whole = one.select("__tree", "hierarchy_id", "parent_id").unionByName(gone.select(F.lit(tree).alias("__tree"), "hierarchy_id", F.lit(None).cast("string").alias("parent_id")))
+    depth = hierarchy.resolve(hierarchy.links(whole, "__tree", "hierarchy_id", "parent_id")).select(F.col("node").alias("__node"), F.col("depth").alias("level"))
+    out = one.withColumn("__node", F.lower(F.trim("hierarchy_id"))).join(depth, "__node", "left").drop("__node", "__tree")
+    return out.orderBy("level", *[c for c in ("sort_order",) if c in nodes.columns], "hierarchy_id")
+
+
+def project_rows(template: DataFrame, project_id: str) -> DataFrame:
+    """The nodes of a new project made from a template's rows: project_id and new
+    ids, hashes of project and old id, parents mapped to them; a parent that is
+    no node of the template gives a root.  Parents come before children."""
+    new = lambda c: F.concat(F.lit("h_"), F.substring(F.sha2(F.concat_ws("\u0001", F.lit(project_id), c), 256), 1, 12))
+    known = template.select(F.col("hierarchy_id").alias("parent_id"), F.lit(True).alias("__known"))
+    rest = [c for c in template.columns if c not in ("hierarchy_id", "parent_id")]
+    out = template.join(known, "parent_id", "left").select(F.lit(project_id).alias("project_id"), new("hierarchy_id").alias("hierarchy_id"), F.when(F.col("__known"), new("parent_id")).alias("parent_id"), *rest)
+    return out.orderBy("level", "hierarchy_id")
+
+
 class Catalogue:
     """Documents of one kind (templates, clients, skills, prompts) in a folder,
     one file each, with an index.  These are edited by people and small; they
@@ -86,3 +114,34 @@ class Catalogue:
             return x in (industry, "general") or industry.startswith(f"{x}_") or x.startswith(f"{industry}_")
 
         return [x for x in self.list() if any(fits(i) for i in (x.get("industries") or [x.get("industry") or "general"]))]
+
+    def index(self) -> list[dict[str, Any]]:
+        """Id, name, category, industry and node count of every document, and writes
+        that as ``index.json`` beside the documents' folder."""
+        rows = [{"id": x["id"], "name": x.get("name", x["id"]), "category": x.get("category"), "industry": x.get("industry", "general"), "hierarchy_count": len(x.get("hierarchies") or ()), "prompt_count": len(x.get("prompts") or ())} for x in self.list()]
+        self.folder.mkdir(parents=True, exist_ok=True)
+        (self.folder.parent / f"{self.kind}_index.json").write_text(json.dumps(rows, ensure_ascii=False, indent=1))
+        return rows
+
+    def text(self, key: str, field: str) -> str | None:
+        """A text beside a document, named by one of its fields (``prompt_file``,
+        ``documentation_file``); None where document, field or file is missing."""
+        name = (self.get(key) or {}).get(field)
+        path = (self.folder / name).resolve() if name else None
+        return path.read_text(encoding="utf-8") if path and path.is_relative_to(self.folder.resolve()) and path.exists() else None
+
+    def set_field(self, key: str, field: str, value: Any) -> dict[str, Any]:
+        """Changes one field; maps (as account patterns) are merged, others replaced."""
+        doc = self.get(key)
+        if doc is None:
+            raise KeyError(key)
+        old = doc.get(field)
+        return self.update(key, **{field: {**old, **value} if isinstance(old, dict) and isinstance(value, dict) else value})
+
+    def add_prompt(self, key: str, prompt: dict[str, Any]) -> dict[str, Any]:
+        """Adds a prompt to a document; it gets an id, a hash of what it says, if it has none."""
+        doc = self.get(key)
+        if doc is None:
+            raise KeyError(key)
+        own = {"id": hashlib.sha256(json.dumps(prompt, sort_keys=True, default=str).encode()).hexdigest()[:8], **prompt}
+        return self.update(key, prompts=[*(doc.get("prompts") or []), own])

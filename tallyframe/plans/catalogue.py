@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyframe.plans import data_queries, reference_queries
+from tallyframe.plans import batch_queries, data_queries, reference_queries
 
 FLAGSHIP = "recon_compare"
-QUERIES = {**data_queries.QUERIES, **reference_queries.QUERIES}
-SQL = {**data_queries.SQL, **reference_queries.SQL}
+QUERIES = {**data_queries.QUERIES, **reference_queries.QUERIES, **batch_queries.QUERIES}
+SQL = {**data_queries.SQL, **reference_queries.SQL, **batch_queries.SQL}

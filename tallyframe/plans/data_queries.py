@@ -82,7 +82,7 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
     return feed_drift.consistent_table(*_feed(spark, d))
 
 
-_P1 = r"""
+_P1_STATES = r"""
 WITH a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, loaded_at DESC NULLS LAST) AS rn FROM customers_a WHERE id IS NOT NULL) WHERE rn = 1),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, loaded_at DESC NULLS LAST) AS rn FROM customers_b WHERE id IS NOT NULL) WHERE rn = 1),
 j AS (SELECT coalesce(a.id, b.id) AS id, a.id AS ia, b.id AS ib,
@@ -90,7 +90,8 @@ j AS (SELECT coalesce(a.id, b.id) AS id, a.id AS ia, b.id AS ib,
   nullif(lower(trim(nfc_normalize(a.email))), '') AS ea, nullif(lower(trim(nfc_normalize(b.email))), '') AS eb,
   nullif(trim(nfc_normalize(a.city)), '') AS ca, nullif(trim(nfc_normalize(b.city)), '') AS cb, a.balance AS ba, b.balance AS bb
   FROM a FULL OUTER JOIN b ON a.id = b.id)
-SELECT id, 'only_in_a' AS kind FROM j WHERE ib IS NULL
+"""
+_P1 = _P1_STATES + r"""SELECT id, 'only_in_a' AS kind FROM j WHERE ib IS NULL
 UNION ALL SELECT id, 'only_in_b' FROM j WHERE ia IS NULL
 UNION ALL SELECT id, 'name' FROM j WHERE ia IS NOT NULL AND ib IS NOT NULL AND na IS DISTINCT FROM nb
 UNION ALL SELECT id, 'email' FROM j WHERE ia IS NOT NULL AND ib IS NOT NULL AND ea IS DISTINCT FROM eb
@@ -98,6 +99,14 @@ UNION ALL SELECT id, 'city' FROM j WHERE ia IS NOT NULL AND ib IS NOT NULL AND c
 UNION ALL SELECT id, 'balance' FROM j WHERE ia IS NOT NULL AND ib IS NOT NULL AND ((ba IS NULL) <> (bb IS NULL) OR abs(ba - bb) >= 0.00499999)
 """
 
+_P1_VALUES = _P1_STATES + """SELECT id, 'only_in_a' AS kind, NULL::VARCHAR AS value_a, NULL::VARCHAR AS value_b FROM j WHERE ib IS NULL
+UNION ALL SELECT id, 'only_in_b', NULL, NULL FROM j WHERE ia IS NULL
+UNION ALL SELECT id, 'name', na, nb FROM j WHERE ia IS NOT NULL AND ib IS NOT NULL AND na IS DISTINCT FROM nb
+UNION ALL SELECT id, 'email', ea, eb FROM j WHERE ia IS NOT NULL AND ib IS NOT NULL AND ea IS DISTINCT FROM eb
+UNION ALL SELECT id, 'city', ca, cb FROM j WHERE ia IS NOT NULL AND ib IS NOT NULL AND ca IS DISTINCT FROM cb
+UNION ALL SELECT id, 'balance', ba::VARCHAR, bb::VARCHAR FROM j WHERE ia IS NOT NULL AND ib IS NOT NULL AND ((ba IS NULL) <> (bb IS NULL) OR abs(ba - bb) >= 0.00499999)
+"""
+
 _P2 = r"""
 WITH r AS (
   SELECT 'feedback_records' AS ref_table, 'grounded_findings' AS target_table, lower(trim(feedback_id)) AS record_id, lower(trim(finding_id)) AS target_id, loaded_at FROM feedback_records
@@ -145,6 +154,7 @@ QUERIES = {
 
 SQL = {
     "p1_found": _P1,
+    "p1_field_values": _P1_VALUES,
     "p2_found": f"SELECT ref_table, record_id, target_id, state, period FROM ({_P2})",
     "p2_orphans_by_period": f"SELECT ref_table, target_table, state, period, count(*) AS n_refs, count(DISTINCT target_id) AS n_targets FROM ({_P2}) GROUP BY 1, 2, 3, 4",
     "p3_found": _P3_FAULTS,

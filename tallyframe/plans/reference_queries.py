@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe import sql as tsql
 from tallyframe.functions import similarity as sim
 from tallyframe.operators import checks, cleaning, detection, fuzzy, graph, linking, profiling, reconcile, templates, workbooks
+from tallyframe.session import cut
 from tallyframe.sources import readers
 from tallyframe.streaming import incremental
 
@@ -37,10 +39,11 @@ def _views(s: SparkSession, d: str, sql: str) -> DataFrame:
     """Runs SQL over the tables it names."""
     import re
 
+    files = {}
     for t in TABLES:
         if re.search(rf"\b{t}\b", sql):
-            _t(s, d, t).createOrReplaceTempView(t)
-    return s.sql(sql)
+            files[t] = f"{d}/{t}.parquet"
+    return tsql.query(s, sql, files)
 
 
 def both(name: str, sql: str, duck: str | None = None) -> None:
@@ -413,7 +416,7 @@ def detect_feedback_thompson(s, d):
 
 
 @query("""WITH t AS (SELECT rule_id, finding_type, count(*) AS n, count(*) FILTER (WHERE action = 'confirmed') AS c, count(*) FILTER (WHERE action = 'dismissed') AS x FROM feedback_records WHERE trim(rule_id) <> '' GROUP BY 1, 2)
-SELECT sum(n)::BIGINT AS n, sum(c)::BIGINT AS confirmed, sum(x)::BIGINT AS dismissed, count(*) AS patterns, count(*) FILTER (WHERE x > 3 AND c = 0) AS suppressed_patterns, round(sum(c) / sum(n), 4) AS confirmation_rate FROM t""")
+SELECT sum(n)::BIGINT AS n, sum(c)::BIGINT AS confirmed, sum(x)::BIGINT AS dismissed, count(*) AS patterns, count(*) FILTER (WHERE x > 3 AND c = 0) AS suppressed_patterns, count(*) FILTER (WHERE NOT (x > 3 AND c = 0)) AS active_patterns, round(sum(c) / sum(n), 4) AS confirmation_rate FROM t""")
 def detect_feedback_stats(s, d):
     return detection.feedback_stats(_t(s, d, "feedback_records"))
 
@@ -479,8 +482,8 @@ def link_clusters(s, d):
 @query()
 def link_search(s, d):
     m = _mentions(s, d)
-    c = linking.clusters(m, linking.link_pairs(m, 0.85))
-    return linking.find_entity(c, m.limit(0).select(F.lit("").alias("label"), "raw_name"), "duplicate account check", 5).drop("label")
+    links = cut(linking.link_pairs(m, 0.85))
+    return linking.find_entity(linking.clusters(m, links), linking.cluster_members(m, links), "duplicate account check", 5).drop("label")
 
 
 @query("""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT mention_a_id AS a, mention_b_id AS b FROM entity_links UNION ALL SELECT mention_b_id, mention_a_id FROM entity_links) WHERE a <> b AND a IS NOT NULL AND b IS NOT NULL),
@@ -541,9 +544,9 @@ both("sql_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orde
 both("sql_rollup", "SELECT r_name, n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
 both("sql_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 both("sql_intersect", "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer")
-both("sql_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+both("sql_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 both("sql_semi", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
-both("sql_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+both("sql_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 both("sql_rank", "SELECT o_custkey, o_orderkey, rnk FROM (SELECT o_custkey, o_orderkey, cast(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS bigint) AS rnk FROM orders) x WHERE rnk <= 3")
 both("sql_lag", "SELECT o_orderkey, o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS delta FROM orders")
 both("sql_frame", "SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS s4 FROM events")

@@ -8,7 +8,7 @@ import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators.cleaning import na_to_null
@@ -17,6 +17,10 @@ from tallyframe.operators.cleaning import na_to_null
 COMMENT_MARKS = ("#", "*", "--", "//")
 
 
+#: Bytes up to which a text file is read by one task.
+WHOLE_FILE = 64 << 20
+
+
 def read_csv(spark: SparkSession, path: str, infer: bool = True, sep: str = ",") -> DataFrame:
     """A delimited file with a header; missing-value texts are null.  Types are
     inferred after that, by one more pass, unless ``infer`` is false."""
@@ -28,11 +32,14 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True, sep: str = ",")
     return df.select(*[(F.trim(F.col(f"`{c}`")).cast(cast(i)) if cast(i) != "string" else F.col(f"`{c}`")).alias(c) for i, c in enumerate(df.columns)])
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row_index, line) of text files, numbered within each file from 0.
+def numbered_lines(spark: SparkSession, path: str, whole_up_to: int = WHOLE_FILE, keep_path: bool = False) -> DataFrame:
+    """(file, row_index, line) of text files, numbered within each file from 0;
+    with ``keep_path`` also the path.
 
-    Files are read whole by one task each, as order within a file is what is
-    wanted; encodings are tried in turn (UTF-8 with or without mark, Latin-1)."""
+    Files of up to ``whole_up_to`` bytes are read whole by one task each, and
+    encodings are tried in turn (UTF-8 with or without mark, Latin-1).  Larger
+    ones are read in splits, as UTF-8: lines are numbered within their split,
+    and a split's first number is what the splits before it hold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -42,9 +49,19 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
                 except UnicodeDecodeError:
                     text = bytes(c).decode("latin-1")
                 lines = text.splitlines()
-                yield pd.DataFrame({"file": [p.rpartition("/")[2]] * len(lines), "row_index": range(len(lines)), "line": lines})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, row_index long, line string")
+                yield pd.DataFrame({"path": [p] * len(lines), "row_index": range(len(lines)), "line": lines})
+
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= whole_up_to).select("path", "content").mapInPandas(run, "path string, row_index long, line string")
+    large = [r.path for r in files.where(F.col("length") > whole_up_to).select("path").collect()]
+    out = small
+    if large:
+        raw = spark.read.text(large).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+        inside = raw.withColumn("n", F.row_number().over(Window.partitionBy("path", "at").orderBy("id")) - 1)
+        earlier = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        before = raw.groupBy("path", "at").agg(F.count("*").alias("c")).select("path", "at", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
+        out = small.unionByName(inside.join(before, ["path", "at"]).select("path", (F.col("before") + F.col("n")).alias("row_index"), F.regexp_replace("line", "^\\uFEFF", "").alias("line")))
+    return out.select(*(["path"] if keep_path else []), F.regexp_extract("path", "[^/]*$", 0).alias("file"), "row_index", "line")
 
 
 def read_commented_csv(spark: SparkSession, path: str, marks: tuple[str, ...] = COMMENT_MARKS, blanks: bool = False, sep: str | None = None) -> DataFrame:

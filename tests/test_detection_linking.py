@@ -110,7 +110,7 @@ def test_links_and_clusters(spark):
         assert [(r.mention_a_id, r.mention_b_id) for r in links.collect()] == [("m1", "m2")]
     c = linking.clusters(m, links).first()
     assert (c.canonical_name, c.domain, c.n_mentions, c.n_files, sorted(c.conflicts)) == ("Revenue", "revenue", 2, 2, ["formula_mismatch", "sign_reversal"])
-    assert linking.clusters(m, links, 1).count() == 0 and linking.link_pairs(m.limit(0)).count() == 0
+    assert [r.over_limit for r in linking.clusters(m, links, 1).collect()] == [True] and linking.clusters(m, links, 1, drop_larger=True).count() == 0 and linking.link_pairs(m.limit(0)).count() == 0
     assert linking.find_entity(linking.clusters(m, links), m.select(F.lit("m1").alias("label"), "raw_name").limit(1), "revenu").count() == 1
     assert linking.capped_mentions(m, 1).count() == 2
 
