@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from tallyframe.llm.names import orders, parse_name, parse_phone, parse_street, parse_web, plain
-from tallyframe.session import cut, spread
+from tallyframe.llm.names import LEAST_FIRST, LEGAL, SHORT_SHARE, Activities, orders, parse_name, parse_phone, parse_street, parse_web, plain
+from tallyframe.session import cut, release, spread
 
 #: Edits within a whole name and within one of its words.
 NAME_EDITS, WORD_EDITS = 2, 1
@@ -144,18 +144,33 @@ def lookup_keys(r: dict) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _parse(r: tuple) -> dict:
-    out = parse_name(r[0])
+def learn_activities(rows: DataFrame) -> Activities:
+    """What the firms of a register do, from the words before their legal forms.
+    What is collected is bounded by the least share of a short form."""
+    words = F.filter(F.split(F.regexp_replace(F.lower("name"), r"[.']", ""), "[^a-z0-9]+"), lambda w: w != "")
+    firms = rows.select(words.alias("w")).where((F.size("w") >= 3) & F.try_element_at("w", F.lit(-1)).isin(*LEGAL))
+    counts = cut(firms.groupBy(F.try_element_at("w", F.lit(-2)).alias("word")).agg(F.count("*").alias("n"), F.approx_count_distinct(F.col("w")[0]).alias("firsts")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = counts.where((F.col("n") >= total * SHORT_SHARE) & (F.col("n") >= LEAST_FIRST)).collect()
+    release(counts)
+    return Activities.learned([(r.word, r.n, r.firsts) for r in frequent], total)
+
+
+def _parse(r: tuple, activities: Activities) -> dict:
+    out = parse_name(r[0], activities)
     out["house"], out["road"] = parse_street(r[1])
     out["zip"], out["town"], out["phone"], out["web"] = plain(r[2]), plain(r[3]), parse_phone(r[4]), parse_web(r[5])
     return out
 
 
-@F.pandas_udf(PARSED)
-def _parsed(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-    for cols in batches:
-        rows = [_parse(r) for r in zip(*(c.where(c.notna(), None) for c in cols), strict=True)]
-        yield pd.DataFrame([[r[f] for f in FIELDS] for r in rows], columns=FIELDS)
+def _parsed(activities: Activities) -> Column:
+    @F.pandas_udf(PARSED)
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for cols in batches:
+            rows = [_parse(r, activities) for r in zip(*(c.where(c.notna(), None) for c in cols), strict=True)]
+            yield pd.DataFrame([[r[f] for f in FIELDS] for r in rows], columns=FIELDS)
+
+    return run(*RAW)
 
 
 _KEYS = StructType([StructField("ix", ArrayType(LongType())), StructField("pr", ArrayType(LongType()))])
@@ -179,19 +194,69 @@ def classes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     (cid, side, key).  Records that are alike go through the join as one."""
     # parsing in Python outweighs moving the rows once more, which would else come coalesced by their size
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    p = rows.distinct().repartition(cores).withColumn("p", _parsed(*RAW))
+    p = rows.distinct().repartition(cores).withColumn("p", _parsed(learn_activities(rows)))
     p = cut(p.select("side", "key", "p.*").withColumn("cid", F.xxhash64(*FIELDS)))
     return cut(p.groupBy("cid").agg(*[F.first(f).alias(f) for f in FIELDS])), p.select("cid", "side", "key").distinct()
 
 
 def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b), a < b, of contents that share a place and whose names, or two of
-    whose longer words, are near."""
+    """(a, b), a < b, of contents whose names, or two of whose longer words, are
+    near and that share a place, or whose whole names are and that have no kind
+    of place in common."""
     keyed = cut(spread(classes).select("cid", _lookup(F.struct(*FIELDS)).alias("k")))
     ix = keyed.select(F.col("cid").alias("a"), F.explode("k.ix").alias("key"))
     pr = keyed.select(F.col("cid").alias("b"), F.explode("k.pr").alias("key"))
     met = ix.join(pr, "key").where("a != b")
-    return verified(classes, met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).unionByName(town_words(classes)).distinct()
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(unplaced_pairs(classes))
+    return verified(classes, met.distinct()).unionByName(town_words(classes)).distinct()
+
+
+def _kinds() -> Column:
+    """Which kinds of place a content has, one bit each."""
+    there = [F.col(c).isNotNull() for c in ("zip", "town", "phone", "web")] + [F.col("house").isNotNull() & F.col("road").isNotNull()]
+    return sum((F.when(c, 1 << i).otherwise(0) for i, c in enumerate(there)), F.lit(0)).cast("int")
+
+
+def unplaced_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b), a < b, of contents whose whole names may be an edit apart and that
+    have no kind of place in common, so that none can be compared.
+
+    Of two such contents one has at most two of the five kinds.  Those look
+    their name's segments up together with each set of kinds that shares none
+    with their own; so contents with a comparable place never meet here, and a
+    name that many bear meets only where something is missing."""
+    kinds = classes.where(F.size("core") > 0).select("cid", "core", _kinds().alias("kinds"))
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def filed(core: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([_crossed([f"kinds{k}"], _hashes(whole_name_keys(list(c))[0])) for c, k in zip(core, own, strict=True)])
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def asked(core: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([_crossed([f"kinds{m}" for m in range(32) if not m & k], _hashes(whole_name_keys(list(c))[1])) for c, k in zip(core, own, strict=True)])
+
+    ix = kinds.select(F.col("cid").alias("a"), F.explode(filed("core", "kinds")).alias("key"))
+    pr = kinds.where(F.bit_count("kinds") <= 2).select(F.col("cid").alias("b"), F.explode(asked("core", "kinds")).alias("key"))
+    met = ix.join(pr, "key").where("a != b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def whole_name_keys(core: list[str], k: int = WORD_EDITS) -> tuple[set[tuple], set[tuple]]:
+    """Keys under which a whole name is filed, and under which it is looked up
+    (its words in any turn); short names by deletions, as in ``lookup_keys``."""
+    forms = [f for f in orders(core) if f]
+    ix: set[tuple] = set()
+    pr: set[tuple] = set()
+    for at, f in enumerate(forms):
+        if len(f) >= SHORT_NAME:
+            pr |= {("n1", *x) for x in probe_keys(f, k, longer=True)}
+            if not at:
+                ix |= {("n1", *x) for x in index_keys(f, k)}
+        if len(f) < SHORT_NAME + k:
+            pr |= {("d1", x) for x in deletion_keys(f, k)}
+            if not at:
+                ix |= {("d1", x) for x in deletion_keys(f, k)}
+    return ix, pr
 
 
 def near_words(words: DataFrame) -> DataFrame:

@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
+from collections.abc import Sequence
 
 #: Legal forms (dots and blanks taken out) and the form they stand for.
 LEGAL = {
     "gmbh": "gmbh", "mbh": "gmbh", "ltd": "ltd", "limited": "ltd", "inc": "inc", "incorporated": "inc", "corp": "corp", "corporation": "corp", "llc": "llc", "bv": "bv", "sa": "sa",
     "ag": "ag", "kg": "kg", "plc": "plc", "nv": "nv", "srl": "srl", "sarl": "sarl", "spa": "spa", "oy": "oy", "ab": "ab", "as": "as", "co": "co", "company": "co", "llp": "llp", "lp": "lp",
 }
-#: What firms do, in full, and abbreviations that are neither the beginning nor the consonants of one.
-ACTIVITIES = (
-    "foods packaging electrical furniture instruments construction distribution logistics software transport chemicals engineering printing "
-    "maintenance technologies consulting equipment manufacturing catering holdings services metals international laboratories supply security "
-    "trading group brands partners atelier studio office solutions systems industries textiles motors energy media pharma"
-).split()
-SHORT = {
-    "fds": "foods", "food": "foods", "pkg": "packaging", "pkging": "packaging", "elec": "electrical", "electric": "electrical", "eng": "engineering", "engrg": "engineering", "engg": "engineering",
-    "sw": "software", "intl": "international", "int": "international", "mfg": "manufacturing", "mfrg": "manufacturing", "mtce": "maintenance", "maint": "maintenance", "mtls": "metals", "metal": "metals",
-    "hldgs": "holdings", "holding": "holdings", "svcs": "services", "svc": "services", "service": "services", "serv": "services", "lgstcs": "logistics", "logistic": "logistics", "labs": "laboratories", "lab": "laboratories",
-    "tech": "technologies", "technology": "technologies", "supplies": "supply", "chemical": "chemicals", "eqpt": "equipment", "equip": "equipment", "cnsltg": "consulting", "prntg": "printing", "trnsprt": "transport",
-    "sec": "security", "constr": "construction", "distr": "distribution", "grp": "group", "cons": "consulting",
-}
-#: Given names and their short forms.
+#: A word is an activity if it stands before the legal form of at least this share of the names that have one, and a
+#: short form of an activity from this share on; either after at least so many different first words.
+WORD_SHARE, SHORT_SHARE, LEAST_FIRST = 0.005, 0.0002, 3
+#: Common given names and their short forms.
 GIVEN = """
 theodore ted theo teddy|michael mike mick mickey|daniel dan danny|rebecca becky becca|gregory greg|edward ed eddie ned|josephine jo josie|jennifer jen jenny|renata rena|nicholas nick nicky
 charlotte lottie charlie|amelie amy|katherine kate kathy katie kat|oskar ossi|joachim jochen achim|christopher chris kit|samuel sam sammy|margaret maggie meg peggy|susanna sue susie suzy|william will bill billy
@@ -78,26 +70,77 @@ def _digits_as_letters(t: str) -> str:
     return t
 
 
-def activity(token: str, dotted: bool) -> str | None:
-    """The activity a word stands for: itself, a known abbreviation, a beginning
-    with a full stop, its consonants, or one typo away."""
-    t = token.replace("'", "")
-    if t in SHORT:
-        return SHORT[t]
-    for a in ACTIVITIES:
-        if t == a or (dotted and len(t) >= 3 and a.startswith(t)):
-            return a
-    if len(t) >= 7:
-        for a in ACTIVITIES:
-            if abs(len(t) - len(a)) <= 1 and (t[0] == a[0] or t[-1] == a[-1]) and edits(t, a, 1) <= 1:
-                return a
-    if len(t) >= 4 and sum(c in "aeiou" for c in t) <= len(t) // 5:
-        for a in ACTIVITIES:
-            if a[0] == t[0] and a[-1] == t[-1]:
-                it = iter(a)
-                if all(c in it for c in t):
-                    return a
-    return None
+def _in_order(short: str, word: str) -> bool:
+    it = iter(word)
+    return all(c in it for c in short)
+
+
+def short_for(token: str, words: Sequence[str]) -> list[str]:
+    """The words that a token may be short for, the likeliest kind only: another
+    ending of the word (supplies, supply), its beginning, or letters of it in
+    order from the first (and, better, to the last)."""
+    best, kind = [], 0
+    for w in words:
+        same = len(os.path.commonprefix([token, w]))
+        if same >= 5 and same * 5 >= 3 * max(len(token), len(w)):
+            k = 4
+        elif len(token) >= 3 and w.startswith(token):
+            k = 3
+        elif len(token) >= 2 and token[0] == w[0] and len(token) < len(w) and _in_order(token, w):
+            k = 2 if token[-1] == w[-1] else 1
+        else:
+            continue
+        if k > kind:
+            best, kind = [], k
+        if k == kind:
+            best.append(w)
+    return best
+
+
+class Activities:
+    """What firms do, as learned from a register: words and their short forms."""
+
+    def __init__(self, words: Sequence[str] = (), short: dict[str, str | None] | None = None) -> None:
+        self.words, self.short = tuple(words), dict(short or {})
+        self.known = set(words)
+
+    @classmethod
+    def learned(cls, counts: Sequence[tuple[str, int, int]], total: int) -> Activities:
+        """From (word before a legal form, names, different first words) and the
+        number of such names.  Of the frequent words those are activities that
+        are short for no much more frequent one; a form that may stand for several
+        words stands for an unknown one."""
+        rows = sorted((x for x in counts if not x[0].isdigit() and x[2] >= LEAST_FIRST), key=lambda x: (-x[1], x[0]))
+        words: dict[str, int] = {}
+        short: dict[str, str | None] = {}
+        for w, n, _ in rows:
+            meant = short_for(w, list(words))
+            if meant and (n < total * WORD_SHARE or 5 * n <= words[meant[0]] or len(os.path.commonprefix([w, meant[0]])) >= 5):
+                short[w] = meant[0] if len(meant) == 1 else None
+            elif n >= total * WORD_SHARE:
+                words[w] = n
+        return cls(list(words), short)
+
+    def of(self, token: str, dotted: bool) -> tuple[bool, str | None]:
+        """Whether a word tells an activity, and which (None if it may be several):
+        itself, a learned short form, a beginning with a full stop, one typo away
+        in long words, or mostly consonants of the word."""
+        t = token.replace("'", "")
+        if t in self.known:
+            return True, t
+        if t in self.short:
+            return True, self.short[t]
+        if dotted and len(t) >= 3 and (begun := [w for w in self.words if w.startswith(t)]):
+            return True, begun[0] if len(begun) == 1 else None
+        if len(t) >= 7:
+            for w in self.words:
+                if abs(len(t) - len(w)) <= 1 and (t[0] == w[0] or t[-1] == w[-1]) and edits(t, w, 1) <= 1:
+                    return True, w
+        if len(t) >= 3 and sum(c in "aeiou" for c in t) <= len(t) // 5:
+            meant = [w for w in self.words if w[0] == t[0] and w[-1] == t[-1] and len(t) < len(w) and _in_order(t, w)]
+            if meant:
+                return True, meant[0] if len(meant) == 1 else None
+        return False, None
 
 
 def given_name(token: str) -> str | None:
@@ -111,7 +154,7 @@ def given_name(token: str) -> str | None:
     return None
 
 
-def parse_name(name: str | None) -> dict[str, object]:
+def parse_name(name: str | None, activities: Activities = Activities()) -> dict[str, object]:
     """core (words without a general meaning, a final full stop kept on
     abbreviations), given (full given name or an initial), person, activity,
     number, legal."""
@@ -149,8 +192,8 @@ def parse_name(name: str | None) -> dict[str, object]:
             break
     if not out["person"] and len(words) > 1:
         for i in range(len(words) - 1, -1, -1):
-            if a := activity(*words[i]):
-                out["activity"] = a
+            told, out["activity"] = activities.of(*words[i])
+            if told:
                 words.pop(i)
                 break
     out["core"] = [t + ("." if d else "") for t, d in words if t]

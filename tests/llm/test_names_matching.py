@@ -54,10 +54,28 @@ def test_edit_band():
     (None, [], {}), ("", [], {}), ("***", [], {}), ("  &  ", [], {}), ("x" * 50_000, ["x" * 50_000], {}),
 ])
 def test_names_as_typed(name, core, rest):
-    got = names.parse_name(name)
+    got = names.parse_name(name, names.Activities(["catering", "services", "instruments", "laboratories"]))
     assert got["core"] == core and all(got[k] == v for k, v in rest.items())
 
 
+def test_activities_are_learned_from_a_register(spark):
+    rnd = random.Random(4)
+    data = []
+    for i in range(3000):
+        what = rnd.choice(["Zymurgy", "Zymurgy", "Falconry", "Falconries", "Glazing", "Glaz.", "Glzg", "Zymrg"] if rnd.random() < 0.3 else ["Zymurgy", "Falconry", "Glazing"])
+        data.append((f"k{i}", f"{''.join(rnd.sample('abcdefghij', 6)).title()} {''.join(rnd.sample('klmnopqrst', 6)).title()} {what} {rnd.choice(['Ltd', 'GmbH', 'S.A.'])}", None, None, None, None, None, "", ""))
+    a = name_variants.learn_activities(records(spark, data, "l"))
+    assert sorted(a.words) == ["falconry", "glazing", "zymurgy"]
+    assert [a.of(t, d) for t, d in (("zymurgy", False), ("falconries", False), ("glzg", False), ("zymrg", False), ("glaz", True), ("zym", True), ("hulim", False))] == [(True, "zymurgy"), (True, "falconry"), (True, "glazing"), (True, "zymurgy"), (True, "glazing"), (True, "zymurgy"), (False, None)]
+    assert name_variants.learn_activities(records(spark, [], "l")).words == ()
+
+
+def test_a_form_of_two_words_stands_for_neither():
+    a = names.Activities.learned([("construction", 500, 400), ("consulting", 500, 400), ("con", 20, 18), ("cons", 20, 18), ("constr", 20, 18), ("12", 90, 80)], 2000)
+    assert a.words == ("construction", "consulting") and a.short == {"con": None, "cons": None, "constr": "construction"}
+    assert a.of("con", False) == (True, None)
+
+
 def test_contacts():
     assert names.parse_phone("+99 966 429 4536") == names.parse_phone("00999664294536") == names.parse_phone("(0966) 429-4536") == "9664294536"
     assert names.parse_street("118 Markle Rosd") == names.parse_street("118 markle St.") == ("118", "markle")
@@ -168,6 +186,29 @@ def test_words_meet_in_a_town(spark):
     assert (1, 2) in want and want <= got
 
 
+def test_names_meet_where_no_place_can_be_compared(spark):
+    rnd = random.Random(15)
+    field = {"zip": "12345", "town": "oldham", "phone": "9664294536", "web": "abc", "house": "12"}
+    rows, none = [], dict.fromkeys(name_variants.FIELDS)
+    for i in range(120):
+        w = "".join(rnd.choice("abc") for _ in range(rnd.randint(5, 11)))
+        v = list(w)
+        for _ in range(rnd.randint(0, 2)):
+            v[rnd.randrange(len(v))] = rnd.choice("abcx")
+        for j, core in ((0, [w, "tail"]), (1, ["".join(v), "tail"] if i % 2 else ["tail", "".join(v)])):
+            has = {k: (x if k != "phone" else str(i * 2 + j)) for k, x in field.items() if rnd.random() < 0.3}
+            rows.append((2 * i + j, *{**none, "core": core, "person": False, **has, "road": "markle" if "house" in has else None}.values()))
+    types = {"core": "array<string>", "person": "boolean"}
+    c = spark.createDataFrame(rows, "cid long, " + ", ".join(f"{f} {types.get(f, 'string')}" for f in name_variants.FIELDS))
+    at = [0, *[1 + name_variants.FIELDS.index(f) for f in ("core", "zip", "town", "phone", "web", "house")]]
+    short = [[r[k] for k in at] for r in rows]
+    apart = lambda x, y: not any(p and q for p, q in zip(x[2:], y[2:], strict=True))
+    want = {(x[0], y[0]) for x in short for y in short if x[0] < y[0] and apart(x, y) and min(levenshtein("".join(x[1]), f) for f in names.orders(y[1])) <= 1}
+    got = {(r.a, r.b) for r in name_variants.unplaced_pairs(c).collect()}
+    by = {x[0]: x for x in short}
+    assert want and want <= got and all(apart(by[a], by[b]) for a, b in got)
+
+
 def test_places_shared_by_many(spark, monkeypatch):
     monkeypatch.setattr(entity_match, "CELL", 20)
     c = _contents(spark, [(i, [f"n{i}"], None) for i in range(120)])
