@@ -94,9 +94,8 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     run = df._jdf.queryExecution()
-    if "Exchange" in run.executedPlan().toString():
-        bytes_ = int(run.optimizedPlan().stats().sizeInBytes().toString())
-        few = bytes_ < cores * (64 << 20)
+    if re.search(r"(?<!Broadcast)Exchange ", run.executedPlan().toString()):
+        few = int(str(run.optimizedPlan().stats().sizeInBytes())) < cores * (64 << 20)
     else:
         few = df._jdf.rdd().getNumPartitions() < cores
     return df.repartition(cores) if few else df
