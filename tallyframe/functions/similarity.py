@@ -97,15 +97,16 @@ def ndiff(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def explanation(a: Column, b: Column) -> Column:
-    """What differs, in words."""
-    ops = opcodes(a, b)
+    """What differs, in words: a line for the similarity and one for each change."""
+    # fixed values: the wording of the lines
     said = F.transform(
-        F.filter(ops, lambda o: o["operation"] != "equal"),
-        lambda o: F.when(o["operation"] == "insert", F.format_string("added '%s'", o["b_content"])).when(o["operation"] == "delete", F.format_string("removed '%s'", o["a_content"])).otherwise(F.format_string("'%s' became '%s'", o["a_content"], o["b_content"])),
+        F.filter(opcodes(a, b), lambda o: o["operation"] != "equal"),
+        lambda o: F.when(o["operation"] == "insert", F.format_string("  Added: '%s'", o["b_content"])).when(o["operation"] == "delete", F.format_string("  Removed: '%s'", o["a_content"])).otherwise(F.format_string("  Changed: '%s' -> '%s'", o["a_content"], o["b_content"])),
     )
+    quoted = lambda word, c: F.concat(F.lit(f"{word}: '"), c, F.lit("'"))
     return (
-        F.when(a == b, F.lit("Identical")).when(F.length(a) == 0, F.concat(F.lit("Added: "), b)).when(F.length(b) == 0, F.concat(F.lit("Removed: "), a))
-        .otherwise(F.concat(F.format_string("Similarity: %.1f%%; ", similarity(a, b) * 100), F.array_join(said, "; ")))
+        F.when(a == b, F.lit("Identical - no changes")).when(F.length(a) == 0, quoted("Added", b)).when(F.length(b) == 0, quoted("Removed", a))
+        .otherwise(F.array_join(F.concat(F.array(F.format_string("Similarity: %.1f%%", similarity(a, b) * 100)), said), "\n"))
     )
 
 

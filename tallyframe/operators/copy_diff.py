@@ -3,9 +3,11 @@
 Each copy is reduced to one 64-bit key hash and one 64-bit row hash per key.
 Every (key hash, row hash) pair is an element of a set; both sets are summed
 into invertible Bloom lookup tables, one table per hash bucket, with opposite
-signs, so equal rows cancel inside the aggregation and what is shuffled has
-the size of the difference, not of the data.  Peeling a bucket's table yields
-the keys whose rows differ; only these are fetched and compared by field.
+signs, so equal rows cancel and a table has the size of the difference, not of
+the data.  Peeling a bucket's table yields the keys whose rows differ; only
+these are fetched and compared by field.  Where a key may have several rows in
+a copy, its last one must be found first, which shuffles the copies once by key;
+with ``unique`` keys that step is left out and only sums of cells move.
 
 The number of cells comes from a strata estimate of the difference (Eppstein
 et al. 2011), a table of fixed size.  A bucket that does not peel completely
@@ -159,9 +161,11 @@ def _differs(f: Compared, a: Column, b: Column) -> Column:
     return ~a.eqNullSafe(b)
 
 
-def _state(df: DataFrame, keys: Sequence[str], fields: Sequence[Compared], latest_by: Sequence[str]) -> DataFrame:
+def _state(df: DataFrame, keys: Sequence[str], fields: Sequence[Compared], latest_by: Sequence[str], unique: bool = False) -> DataFrame:
     """One row per key: the one that is last by ``latest_by`` (ties by content)."""
     rest = [f.name for f in fields]
+    if unique:
+        return df.select(*keys, *rest)
     return df.groupBy(*keys).agg(F.max(F.struct(*latest_by, *rest)).alias("__s")).select(*keys, *[F.col("__s")[c].alias(c) for c in rest])
 
 
@@ -177,6 +181,7 @@ def diff_copies(
     keys: Sequence[str],
     fields: Sequence[Compared],
     latest_by: Sequence[str] = (),
+    unique: bool = False,
 ) -> DataFrame:
     """Rows missing on either side and fields that differ.
 
@@ -189,14 +194,15 @@ def diff_copies(
     key column do not count.  Text compares in Unicode composition NFC without
     outer blanks, blank equals null; NaN equals NaN; null differs from a number.
     Columns not named play no part, whatever they are called.  Empty copies give
-    only missing rows, or none.
+    only missing rows, or none.  ``unique`` says that no key has two rows in one
+    copy; a key that has, then counts with each of them.
 
     Two rows of one key go unnoticed only if their 64-bit row hashes collide.
     """
     pa, pb = _prepare(a, keys, fields, latest_by), _prepare(b, keys, fields, latest_by)
 
     def elements(p: DataFrame, sign: int) -> DataFrame:
-        s = _canonical(_state(p, [*keys, "__kh"], fields, latest_by), fields)
+        s = _canonical(_state(p, [*keys, "__kh"], fields, latest_by, unique), fields)
         s = s.select(F.col("__kh").alias("kh"), F.xxhash64(*keys, *[_digest(f) for f in fields]).alias("rh"), F.lit(sign).cast("long").alias("sign"))
         return s.withColumn("e", F.xxhash64("kh", "rh"))
 

@@ -107,7 +107,28 @@ def descendants(path_rows: DataFrame) -> DataFrame:
     return up.where("i < n - 1").select("tree_id", "ancestor", "descendant", (F.col("n") - 1 - F.col("i")).alias("distance"))
 
 
+def subtree_sizes(nodes: DataFrame) -> DataFrame:
+    """tree, node, n_descendants of nodes (tree, node, parent) that form trees.
+
+    Sums double along with pointers: what stands less than 2^k below a node is
+    what stands less than 2^(k-1) below it and below those 2^(k-1) beneath it.
+    So a round moves a row per node, where listing all pairs of ancestor and
+    descendant would grow with nodes times depth."""
+    state = cut(_start(nodes.withColumn("node_id", F.col("node")), False).select(*_T, "done", "ptr", "hops", "end"))
+    sizes = cut(nodes.select(*_T, F.lit(1).cast("long").alias("n")))
+    while state.where("done is null").limit(1).count():
+        beneath = state.where("done is null").join(sizes, _T).groupBy("tree", F.col("ptr").alias("node")).agg(F.sum("n").alias("more"))
+        grown = cut(sizes.join(beneath, _T, "left").select(*_T, (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        moved = cut(_double(state, False))
+        release(sizes)
+        release(state)
+        sizes, state = grown, moved
+    return sizes.select(*_T, (F.col("n") - 1).alias("n_descendants"))
+
+
 def full_hierarchy(path_rows: DataFrame, sep: str = " > ") -> DataFrame:
     """Path as text, depth, root and number of descendants of each node."""
-    n = descendants(path_rows).groupBy("tree_id", F.col("ancestor").alias("node_id")).agg(F.count("*").alias("n_descendants"))
+    path_rows = cut(path_rows)
+    n = subtree_sizes(path_rows.select(F.col("tree_id").alias("tree"), F.col("node_id").alias("node"), F.when(F.size("path") > 1, F.element_at("path", -2)).alias("parent")))
+    n = n.withColumnsRenamed({"tree": "tree_id", "node": "node_id"})
     return path_rows.join(n, ["tree_id", "node_id"], "left").select("tree_id", "node_id", F.array_join("path", sep).alias("path"), "depth", "root", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))

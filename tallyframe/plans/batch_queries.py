@@ -586,3 +586,105 @@ def template_depths(s, d):
     nodes = hierarchy.links(_t(s, d, "template_hierarchy"), "template_id", "hierarchy_id", "parent_id", "loaded_at", "level")
     ok = hierarchy.resolve(nodes).where("kind = 'ok'")
     return ok.groupBy(F.col("tree").alias("template_id")).agg(F.count("*").alias("n_nodes"), F.max("depth").alias("deepest"))
+
+
+# ---- fixtures: small tables whose results follow from the definitions ---------------------------
+
+
+@query("SELECT event_id::VARCHAR AS mention_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id, event_id::VARCHAR) AS r FROM events) WHERE r <= 50")
+def link_capped_mentions(s, d):
+    m = _t(s, d, "events").select(F.col("event_id").cast("string").alias("mention_id"), F.col("event_type").alias("file_path"), F.col("event_id").alias("pos"))
+    return linking.capped_mentions(m, linking.MENTIONS_PER_FILE).select("mention_id")
+
+
+@query(_values(("a", "b", "ratio"), [("kitten", "sitting", 200 * 4 / 13), ("", "", 100.0), ("abc", "abc", 100.0), ("ab", "cd", 0.0), ("abcd", "acbd", 75.0)]))
+def fuzzy_indel_ratios(s, d):
+    df = s.createDataFrame([("kitten", "sitting"), ("", ""), ("abc", "abc"), ("ab", "cd"), ("abcd", "acbd")], "a string, b string")
+    return df.select("a", "b", sim.indel("a", "b").alias("ratio"))
+
+
+@query(_values(("value_a", "value_b", "score"), [("apple inc", "appel inc", 200 * 8 / 18), ("zeta", "zeta", 100.0)]))
+def fuzzy_best_fixture(s, d):
+    a = s.createDataFrame([("apple inc",), ("zeta",), ("nothing like it",), (None,)], "v string")
+    b = s.createDataFrame([("appel inc",), ("aple in",), ("zeta",), ("zeta",), ("",)], "v string")
+    return fuzzy.fuzzy_match(a, "v", b, "v", 80)
+
+
+@query(_values(("value", "leader"), [("acme co", "acme co"), ("acme c", "acme co"), ("acme", "acme"), ("zeta", "zeta")]))
+def fuzzy_groups_fixture(s, d):
+    df = s.createDataFrame([(1, "acme co"), (2, "acme c"), (3, "acme"), (4, "zeta"), (5, "zeta")], "n long, v string")
+    return fuzzy.fuzzy_dedupe(df, "v", 90, "n").select("value", "leader")
+
+
+@query(_values(("n", "explanation"), [(0, "Identical - no changes"), (1, "Similarity: 80.0%\n  Changed: 'e' -> 'a'"), (2, "Removed: 'hello'"), (3, "Identical - no changes"), (4, "Similarity: 0.0%\n  Changed: 'abc' -> 'xyz'"), (5, "Similarity: 50.0%\n  Changed: 'def' -> 'xyz'")]))
+def diff_explanations(s, d):
+    return _pairs(s).where("n <= 5").select("n", sim.explanation(F.col("a"), F.col("b")).alias("explanation"))
+
+
+@query(_values(("n", "names"), [(0, "Blue Sky"), (1, "net_sales_total,NetSales"), (2, "")]))
+def link_names_in_texts(s, d):
+    df = s.createDataFrame([(0, 'the "Blue Sky" of all'), (1, "adds net_sales_total to NetSales"), (2, "nothing here")], "n long, t string")
+    return df.select("n", F.array_join(linking.names_in(F.col("t")), ",").alias("names"))
+
+
+@query(_values(("words", "pattern"), [("sign,reversal,asset", "(?i)\\b(?:sign|reversal|asset)\\b"), ("", None)]))
+def knowledge_patterns(s, d):
+    df = s.createDataFrame([("The sign reversal of an asset", "sign"), ("of an", "")], "a string, b string")
+    k = knowledge.keywords(F.col("a"), F.col("b"))
+    return df.select(F.array_join(k, ",").alias("words"), knowledge.any_of(k).alias("pattern"))
+
+
+@query(_values(("rule_id", "finding_type", "severity", "pattern", "field_targets"), [("rule_a", "sign_reversal", "high", "neg", "amount"), ("rule_b", "rounding_discrepancy", "medium", "(?i)\\b(?:rounding|check)\\b", "account_name,description")]))
+def knowledge_rules_fixture(s, d):
+    path = _folder(s)
+    docs = """{"nodes": [{"id": "a", "type": "rule", "name": "Signs", "properties": {"detection_rule": {"pattern": "neg", "field_targets": ["amount"], "finding_type": "sign_reversal", "severity": "HIGH"}}},
+{"id": "b", "type": "standard", "name": "Rounding check"}, {"id": "c", "type": "unknown", "name": "Other"}, {"id": null, "type": "rule", "name": "No id"}]}"""
+    s.createDataFrame([(docs.replace("\n", " "),)], "value string").coalesce(1).write.text(path)
+    rules = s.read.schema(knowledge.NODES).option("multiLine", True).json(f"{path}/*.txt")
+    r = knowledge.knowledge_rules(rules.select(F.lit("one").alias("file"), "nodes"))
+    return r.select("rule_id", "finding_type", "severity", "pattern", F.array_join("field_targets", ",").alias("field_targets"))
+
+
+@query(f"SELECT * FROM ({rq._SCAN})")
+def detect_unlimited(s, d):
+    rows, _, rules = rq._scanned(s, d)
+    return detection.detect(rows, rules, rq._COLS, most=None).select("file", "row_index", "rule_id", "finding_type", "field", "confidence")
+
+
+@query("SELECT rule_id, coalesce(name, '') AS name, lower(coalesce(severity, 'medium')) AS severity, coalesce(confidence, 0.9) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY loaded_at DESC) AS rn FROM detection_rules WHERE rule_id IS NOT NULL) WHERE rn = 1")
+def detect_rule_table(s, d):
+    rules = detection.rules_from(_t(s, d, "detection_rules"))
+    return s.createDataFrame([(r.rule_id, r.name, r.severity, float(r.confidence)) for r in rules], "rule_id string, name string, severity string, confidence double")
+
+
+_F1, _F2 = "=SUM(A1:A9)", "=SUM(B1:B9)*2"
+
+
+def _two_mentions(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(
+        [("m1", "a.xlsx", "Budget", "Revenue", "revenue", _F1, "sum of all sales", 0), ("m2", "b.xlsx", "Forecast", "Net Sales", "net_sales", _F2, "sum of all sales", 0), ("m3", "b.xlsx", "Other", "Headcount", "headcount", "=1", "people", 1)],
+        "mention_id string, file_path string, archetype string, raw_name string, normalized_name string, formula string, business_meaning string, pos long",
+    )
+
+
+@query(_values(("mention_a_id", "mention_b_id", "name_similarity", "formula_similarity", "business_meaning", "archetype_compatibility", "composite_score"), [("m1", "m2", 1.0, _matcher(_F1, _F2).ratio(), 1.0, 1.0, round(0.4 + 0.25 * _matcher(_F1, _F2).ratio() + 0.25 + 0.1, 4))]))
+def link_pairs_fixture(s, d):
+    return linking.link_pairs(_two_mentions(s))
+
+
+@query(_values(("canonical_name", "score"), [("Revenue", 1.0)]))
+def link_search_fixture(s, d):
+    m = _two_mentions(s)
+    links = linking.link_pairs(m)
+    return linking.find_entity(linking.clusters(m, links), linking.cluster_members(m, links), "net sales", 3).select("canonical_name", "score")
+
+
+@query(_values(("spec", "pages"), [("1-3,7", "1,2,3,7"), ("4", "4"), ("all", "all")]))
+def source_page_numbers(s, d):
+    out = [(x, "all" if (p := readers.page_numbers(x)) is None else ",".join(map(str, sorted(p)))) for x in ("1-3,7", "4", "all")]
+    return s.createDataFrame(out, "spec string, pages string")
+
+
+@query(_values(("name", "slug"), [("Oil & Gas (Upstream)", "oil_gas_upstream"), ("  P&L 2024 ", "p_l_2024"), ("Ärger", "rger")]))
+def template_slugs(s, d):
+    return s.createDataFrame([(x, templates.slug(x)) for x in ("Oil & Gas (Upstream)", "  P&L 2024 ", "Ärger")], "name string, slug string")

@@ -74,3 +74,17 @@ def test_deep_chain_and_long_loop_against_brute_force(spark):
         return ("ok", depth)
 
     assert got == {k.lower(): brute(k) for k in parent}
+
+
+def test_subtree_sizes_against_brute_force(spark):
+    rnd = random.Random(11)
+    parent = {0: None} | {i: rnd.choice([None, i - 1, i - 1, rnd.randrange(i)]) for i in range(1, 200)}
+    below = dict.fromkeys(parent, 0)
+    for i in parent:
+        p = parent[i]
+        while p is not None:
+            below[p] += 1
+            p = parent[p]
+    nodes = spark.createDataFrame([("t", str(i), None if p is None else str(p)) for i, p in parent.items()], "tree string, node string, parent string")
+    assert {int(r.node): r.n_descendants for r in hierarchy.subtree_sizes(nodes).collect()} == below
+    assert hierarchy.subtree_sizes(nodes.limit(0)).count() == 0

@@ -34,7 +34,7 @@ def test_blocks_and_opcodes(spark):
     assert one(spark, sim.matching_blocks, "abcdef", "abcxyz")[0].content == "abc"
     ops = one(spark, sim.opcodes, "abcdef", "abxdef")
     assert [(o.operation, o.a_content, o.b_content) for o in ops] == [("equal", "ab", "ab"), ("replace", "c", "x"), ("equal", "def", "def")]
-    assert one(spark, sim.explanation, "a", "a") == "Identical" and one(spark, sim.explanation, "", "x") == "Added: x"
+    assert one(spark, sim.explanation, "a", "a") == "Identical - no changes" and one(spark, sim.explanation, "", "x") == "Added: 'x'"
     assert one(spark, sim.real_quick_ratio, "ab", "abcd") == pytest.approx(difflib.SequenceMatcher(None, "ab", "abcd").real_quick_ratio())
     assert "-a" in one(spark, sim.unified_diff, "a\nb", "b") and "! " not in one(spark, sim.ndiff, "ab", "ac")
 
