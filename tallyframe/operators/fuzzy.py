@@ -93,10 +93,12 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     pr = _keyed(a, t).select(F.col("v").alias("a"), F.explode("k.pr").alias("key"))
     ix = _keyed(b, t).select(F.col("v").alias("b"), F.explode("k.ix").alias("key"))
     la, lb = F.length("a"), F.length("b")
-    met = pr.join(ix, "key").where(200.0 * F.least(la, lb) >= F.lit(float(threshold)) * (la + lb)).select("a", "b").distinct()
-    # an edit distance is never more than insertions and deletions alone; this check is banded and stays in the JVM
+    met = pr.join(ix, "key").where(200.0 * F.least(la, lb) >= F.lit(float(threshold)) * (la + lb))
+    # an edit distance is never more than insertions and deletions alone; this check is banded, stays in the JVM, and
+    # comes before pairs are moved to be counted once
     most = F.floor((1 - t) * (la + lb) + 1e-9).cast("int")
-    return met.withColumn("most", most).where(F.expr("levenshtein(a, b, most) >= 0")).drop("most").withColumn("score", indel("a", "b")).where(F.col("score") >= threshold)
+    near = met.withColumn("most", most).where(F.expr("levenshtein(a, b, most) >= 0")).select("a", "b").distinct()
+    return near.withColumn("score", indel("a", "b")).where(F.col("score") >= threshold)
 
 
 def difflib_matches(words: DataFrame, word: str, candidates: DataFrame, candidate: str, n: int = 5, cutoff: float = 0.6) -> DataFrame:

@@ -374,14 +374,18 @@ def fuzzy_match_default(s, d):
     return fuzzy.fuzzy_match(_t(s, d, "new_erp_vendors"), "legal_name", _t(s, d, "legacy_vendors"), "vendor_name")
 
 
+@query()
+def fuzzy_match_70(s, d):
+    return fuzzy.fuzzy_match(_t(s, d, "new_erp_vendors"), "legal_name", _t(s, d, "legacy_vendors"), "vendor_name", 70)
+
+
 # ---- templates ---------------------------------------------------------------------------
 
-@query(f"""WITH x AS (SELECT template_id AS id, count(*) AS n, count(*) FILTER (WHERE is_calculated) AS k, max(level) AS deepest FROM template_hierarchy GROUP BY 1),
+#: The result of a query defined beside the other reference operators.
+SQL["template_recommend"] = """WITH x AS (SELECT template_id AS id, count(*) AS n, count(*) FILTER (WHERE is_calculated) AS k, max(level) AS deepest FROM template_hierarchy GROUP BY 1),
 y AS (SELECT id, CASE WHEN k > 3 THEN 'income_statement' ELSE 'balance_sheet' END AS category, CASE WHEN deepest > 7 THEN 'manufacturing' ELSE 'general' END AS industry, n FROM x)
 SELECT id, id AS name, category, industry, least(100, 50 + CASE industry WHEN 'manufacturing' THEN 30 ELSE 10 END + CASE category WHEN 'income_statement' THEN 30 ELSE 0 END + CASE WHEN n > 10 THEN 10 ELSE 0 END)::INT AS score, industry = 'manufacturing' AS industry_match, category = 'income_statement' AS category_match
-FROM y ORDER BY score DESC, id LIMIT 5""")
-def template_recommend_top(s, d):
-    return rq.template_recommend(s, d)
+FROM y ORDER BY score DESC, id LIMIT 5"""
 
 
 @query(_values(("hierarchy_id", "parent", "level", "sort_order"), [("a", None, 1, 1), ("b", "a", 2, 2), ("c", "b", 3, 1), ("d", None, 1, 3), ("e", "gone", 2, 1)]).replace("::BIGINT AS sort_order", "::INT AS sort_order"))
