@@ -10,12 +10,22 @@ from tallyframe.functions.text import blank_to_null
 #: Node types that make rules (``terminology`` only on request).
 NODE_TYPES = ("rule", "standard", "pattern", "gap", "capability_gap", "fact", "guardrail", "formula_domain", "hierarchy_type", "complexity_pattern")
 #: Words that tell a finding's type, in order of trial.
-FINDING_WORDS = (
-    ("sign_reversal", "sign_reversal"), ("sign_convention", "sign_reversal"), ("rounding", "rounding_discrepancy"), ("missing", "missing_account"), ("duplicate", "duplicate_account"), ("hierarchy", "hierarchy_break"),
-    ("naming", "naming_violation"), ("balance", "balance_mismatch"), ("formula", "formula_anomaly"), ("classification", "classification_error"),
-)
-FINDING_NAMES = {"rounding_tolerance": "rounding_discrepancy", "naming_convention": "naming_violation", "trial_balance": "balance_mismatch", **dict(FINDING_WORDS)}
-FINDING_TYPES = ("sign_reversal", "rounding_discrepancy", "missing_account", "duplicate_account", "hierarchy_break", "naming_violation", "balance_mismatch", "formula_anomaly", "classification_error", "custom")
+FINDING_NAMES = {
+    "sign_reversal": "sign_reversal",
+    "sign_convention": "sign_reversal",
+    "rounding": "rounding_discrepancy",
+    "rounding_tolerance": "rounding_discrepancy",
+    "missing": "missing_account",
+    "duplicate": "duplicate_account",
+    "hierarchy": "hierarchy_break",
+    "naming": "naming_violation",
+    "naming_convention": "naming_violation",
+    "balance": "balance_mismatch",
+    "trial_balance": "balance_mismatch",
+    "formula": "formula_anomaly",
+    "classification": "classification_error",
+}
+FINDING_TYPES = (*dict.fromkeys(FINDING_NAMES.values()), "custom")
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 #: Words that make no keyword; keywords of a rule at most.
 PLAIN_WORDS = "the and for with from that this are was has have been not but its any all can only into per via each use new one two".split()
@@ -58,7 +68,7 @@ def knowledge_rules(documents: DataFrame, types: tuple[str, ...] = NODE_TYPES) -
     made = any_of(keywords(F.col("n.name"), said))
     own = F.coalesce(blank_to_null(p["detection_pattern"]), blank_to_null(p["pattern"]))
     told = F.concat_ws(" ", F.lower(F.array_join(F.coalesce("n.tags", F.array()), " ")), F.lower("n.name"))
-    by_words = F.coalesce(*[F.when(told.contains(w), F.lit(t)) for w, t in FINDING_WORDS], F.lit("custom"))
+    by_words = F.coalesce(*[F.when(told.contains(w), F.lit(t)) for w, t in FINDING_NAMES.items()], F.lit("custom"))
     direct = kind.isin("rule", "standard", "pattern", "guardrail", "terminology")
     names = lambda *c: F.array(*map(F.lit, c))
     sev = _severity(p["severity"])
