@@ -9,6 +9,12 @@ often into two letters or more, as with a low threshold (below about 85 for
 texts of 20 letters), meet by length alone, each pair once and in cells, so
 that no task has all texts of a length.  That part is quadratic in the texts of
 like length, which such thresholds ask for: they call most of them near.
+
+Where only the best match of each text is asked for, texts meet in blocks of
+like length instead: letter counts bound the ratio of all pairs of two blocks in
+one matrix product, and only pairs whose bound reaches the best match met so far
+are compared, many at a time.  That is quadratic as well, at a few nanoseconds a
+pair, and holds no more than two blocks' product at once.
 """
 
 from __future__ import annotations
@@ -17,16 +23,22 @@ import math
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tallyframe.functions.similarity import indel, similarity
+from tallyframe.functions.similarity import indel, indel_ratio, similarity
 from tallyframe.session import cut, release
 
 #: Cells into which the texts of one length are spread where they meet by length alone.
 CELLS = 16
+#: Texts and letters in a block, texts of the right side and blocks of the left in a task, pairs compared at a time.
+BLOCK, LETTERS, PART, TURNS, PAIRS = 1024, 1 << 16, 100_000, 4, 1 << 15
+#: Letters of a text that fit in a machine word; kinds of letters that are counted apart, and up to which count exactly.
+WORD, KINDS, EXACT = 64, 96, 4
 _KEYS = StructType([StructField("ix", ArrayType(LongType())), StructField("pr", ArrayType(LongType()))])
 
 
@@ -101,6 +113,148 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     return near.withColumn("score", indel("a", "b")).where(F.col("score") >= threshold)
 
 
+class Block:
+    """Texts with their letters as numbers (0: none) and counts of kinds of letters."""
+
+    def __init__(self, texts: list[str], letters: dict[str, int]) -> None:
+        self.texts, self.n = texts, np.array([len(x) for x in texts], np.int64)
+        codes = np.array([letters.setdefault(c, len(letters) + 1) for x in texts for c in x], np.int64)
+        row = np.repeat(np.arange(len(texts)), self.n)
+        at = np.arange(len(codes)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        self.codes = np.zeros((max(int(self.n.max()), 1), len(texts)), np.int32)  # letters of one place side by side
+        self.codes[at, row] = codes
+        self.counts = np.bincount(row * KINDS + codes % KINDS, minlength=len(texts) * KINDS).reshape(len(texts), KINDS).astype(np.int32)
+        self.most = self.counts.max(0)
+
+    def features(self, most: np.ndarray) -> np.ndarray:
+        """Vectors whose products are at least the letters that two texts share: for each
+        kind one for the first, second ... of its letters, and for those beyond,
+        as the root of their number, since min(x, y) <= sqrt(x) sqrt(y)."""
+        parts = [self.counts[:, most >= k] >= k for k in range(1, EXACT + 1)]
+        return np.concatenate([*parts, np.sqrt(np.maximum(self.counts[:, most > EXACT] - EXACT, 0))], 1).astype(np.float32)
+
+    def masks(self, letters: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Where each letter stands in each text, a bit each; the place of letters in it; its width."""
+        own = np.unique(self.codes)
+        own = own[own > 0]
+        place = np.full(letters + 1, len(own), np.int64)  # letters that these texts do not have
+        place[own] = np.arange(len(own))
+        out = np.zeros((len(self.texts), len(own) + 1), np.uint64)
+        for i, c in enumerate(self.codes[:WORD]):
+            have = np.flatnonzero(c)
+            out[have, place[c[have]]] |= np.uint64(1 << i)
+        return out.ravel(), place, len(own) + 1
+
+
+def ratios(a: Block, masks: tuple[np.ndarray, np.ndarray, int], b: Block, ai: np.ndarray, bi: np.ndarray) -> np.ndarray:
+    """Indel ratios of pairs of texts in two blocks, as ``indel_ratio``."""
+    if a.n.max() > WORD:
+        return np.array([indel_ratio(a.texts[i], b.texts[j]) for i, j in zip(ai, bi, strict=True)], float)
+    out = np.empty(len(ai))
+    where, place, width = masks
+    codes = place[b.codes]
+    full = np.array([(1 << int(n)) - 1 for n in a.n], np.uint64)
+    for lo in range(0, len(ai), PAIRS):
+        i, j = ai[lo : lo + PAIRS], bi[lo : lo + PAIRS]
+        base, s = i * width, np.full(len(i), np.uint64(0xFFFFFFFFFFFFFFFF))
+        for c in codes:
+            u = s & where.take(base + c.take(j))
+            s = (s + u) | (s - u)
+        both = a.n[i] + b.n[j]
+        out[lo : lo + PAIRS] = np.where(both == 0, 100.0, 200.0 * (a.n[i] - np.bitwise_count(s & full[i])) / np.maximum(both, 1))
+    return out
+
+
+def best_of(a: Block, blocks: list[Block], threshold: float, letters: int) -> list[tuple[str, str, float]]:
+    """(a, b, score): the best match in ``blocks`` of each text of a block, the least of
+    equals.  The pair with the greatest bound comes first, as what it reaches
+    spares most of the others."""
+    best, who = np.full(len(a.texts), float(threshold)), [None] * len(a.texts)
+    masks = a.masks(letters)
+
+    def bounds(b: Block) -> np.ndarray:
+        most = np.minimum(a.most, b.most)
+        return a.features(most) @ b.features(most).T
+
+    def take(b: Block, ai: np.ndarray, bi: np.ndarray) -> None:
+        score = ratios(a, masks, b, ai, bi)
+        good = np.flatnonzero(score >= best[ai])
+        for k in good[np.argsort(-score[good], kind="stable")]:
+            i, v, x = ai[k], score[k], b.texts[bi[k]]
+            if v > best[i] or v == best[i] and (who[i] is None or x < who[i]):
+                best[i], who[i] = v, x
+
+    first = np.full(len(a.texts), -1.0)
+    at = np.zeros((2, len(a.texts)), np.int64)
+    rows = np.arange(len(a.texts))
+    for k, b in enumerate(blocks):
+        u = bounds(b)
+        j = u.argmax(1)
+        r = u[rows, j] / np.maximum(a.n + b.n[j], 1)
+        new = r > first
+        first[new], at[0, new], at[1, new] = r[new], k, j[new]
+    for k, b in enumerate(blocks):
+        own = np.flatnonzero(at[0] == k)
+        take(b, own, at[1, own])
+    for b in sorted(blocks, key=lambda b: abs(int(b.n[0]) - int(a.n[0]))):
+        both = a.n[:, None] + (b.n[:1] if b.n.min() == b.n.max() else b.n)[None, :]
+        need = (best[:, None] / 200 * both - 1e-3 - 1e-5 * both).astype(np.float32)
+        take(b, *np.nonzero(bounds(b) >= need))
+    return [(x, y, float(s)) for x, y, s in zip(a.texts, who, best, strict=True) if y is not None]
+
+
+def _blocks(values: DataFrame, x: str) -> DataFrame:
+    """Blocks of distinct values ``v`` of like length: a key, the values, the least and greatest length."""
+    n = F.length("v")
+    kind = F.when(n <= WORD, n).otherwise(WORD + 1 + F.floor(8 * F.log2(n / WORD))).cast("int")
+    v = values.select("v", kind.alias("kind"), n.alias("n"))
+    cells = v.groupBy("kind").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / LETTERS)).alias("cells"))
+    cell = F.when(F.col("cells") > 1, F.pmod(F.xxhash64("v"), F.col("cells"))).otherwise(0)
+    grouped = v.join(cells, "kind").groupBy("kind", cell.alias("cell")).agg(F.collect_list("v").alias(x), F.min("n").alias(f"lo_{x}"), F.max("n").alias(f"hi_{x}"))
+    return cut(grouped.select(F.concat_ws("-", "kind", "cell").alias(f"id_{x}"), x, f"lo_{x}", f"hi_{x}"))
+
+
+def best_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, score): for each value of one-column frame ``left`` (column v) the best
+    match among those of ``right`` with an Indel ratio of at least ``threshold``
+    percent; ties go to the least value.  Nulls match nothing; two empty texts score 100."""
+    a, b = (cut(x.where("v is not null").distinct()) for x in (left, right))
+    same = a.join(b, "v").where(F.lit(float(threshold)) <= 100).select(F.col("v").alias("a"), F.col("v").alias("b"), F.lit(100.0).alias("score"))
+    if threshold >= 100:
+        return same
+    ba, bb = _blocks(a.join(b, "v", "left_anti"), "a"), _blocks(b, "b")
+    cores = a.sparkSession.sparkContext.defaultParallelism
+    ba = ba.repartition(max(3 * cores, math.ceil(ba.count() / TURNS)))
+    bb = bb.repartition(max(1, math.ceil(bb.count() * BLOCK / PART)))
+    # some lengths in the two blocks allow the ratio
+    near = (200.0 * F.col("hi_a") + 1e-6 >= threshold * (F.col("hi_a") + F.greatest("hi_a", "lo_b"))) & (200.0 * F.col("hi_b") + 1e-6 >= threshold * (F.col("hi_b") + F.greatest("hi_b", "lo_a")))
+    met = ba.hint("shuffle_replicate_nl").join(bb, near).select("id_a", "a", "id_b", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters: dict[str, int] = {}
+        known: dict[str, Block] = {}
+        now, block, others = None, None, []
+
+        def said() -> Iterator[pa.RecordBatch]:
+            if others:
+                rows = best_of(block, others, threshold, len(letters))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], ["a", "b", "score"])
+
+        for batch in batches:
+            ids_a, va, ids_b, vb = batch.columns
+            for k in range(batch.num_rows):
+                ia, ib = ids_a[k].as_py(), ids_b[k].as_py()
+                if ia != now:
+                    yield from said()
+                    now, block, others = ia, Block(va[k].as_py(), letters), []
+                if ib not in known:
+                    known[ib] = Block(vb[k].as_py(), letters)
+                others.append(known[ib])
+        yield from said()
+
+    return same.unionByName(met.mapInArrow(run, "a string, b string, score double"))
+
+
 def difflib_matches(words: DataFrame, word: str, candidates: DataFrame, candidate: str, n: int = 5, cutoff: float = 0.6) -> DataFrame:
     """(word, candidate, similarity, rank): the ``n`` best candidates of each
     word by the Ratcliff-Obershelp ratio, from ``cutoff`` on; ties go to the
@@ -120,7 +274,7 @@ def fuzzy_match(a: DataFrame, column_a: str, b: DataFrame, column_b: str, thresh
     """(value_a, value_b, score): for each distinct value of ``a`` its best match
     in ``b``; ties go to the least value."""
     one = lambda df, c: df.select(F.col(f"`{c}`").cast("string").alias("v"))
-    s = similar_pairs(one(a, column_a), one(b, column_b), threshold)
+    s = best_pairs(one(a, column_a), one(b, column_b), threshold)
     return s.groupBy("a").agg(F.max("score").alias("score"), F.min_by("b", F.struct(-F.col("score"), "b")).alias("value_b")).select(F.col("a").alias("value_a"), "value_b", "score")
 
 

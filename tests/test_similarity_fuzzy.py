@@ -87,3 +87,37 @@ def test_star_components(spark, rows):
     got = dict((r.vertex, r.label) for r in graph.star_components(e).collect())
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", **{f"p{i}": "p0" for i in range(21)}}
     assert rows(graph.star_components(e.limit(0))) == []
+
+
+def firms(n, seed):
+    rnd = random.Random(seed)
+    part = lambda: "".join(rnd.choice(["del", "mar", "to", "sal", "ost", "pel", "mun", "zan", "thu", "hes", "bra", "fro"]) for _ in range(3)).title()
+    return [f"{part()} {part()} {rnd.choice(['Foods', 'Logistics', 'Electrical', 'Manufacturing', 'Equipment'])} {rnd.choice(['GmbH', 'Ltd', 'Inc.', 'B.V.'])}" for _ in range(n)]
+
+
+def best(texts, others, threshold):
+    got = {x: min(((-sim.indel_ratio(x, y), y) for y in others), default=(0, None)) for x in texts}
+    return {(x, y, -s) for x, (s, y) in got.items() if y is not None and -s >= threshold}
+
+
+@pytest.mark.parametrize("threshold", [70])
+def test_best_matches_of_blocks_compare_few_pairs(monkeypatch, threshold):
+    right = firms(600, 1)
+    left = [x[:4] + x[5:] for x in right[:200]] + firms(100, 2) + ["", "é" * 80]
+    letters, seen, plain = {}, [], fuzzy.ratios
+    a, bs = fuzzy.Block(left, letters), [fuzzy.Block(right[i : i + 100], letters) for i in range(0, 600, 100)] + [fuzzy.Block([""], letters)]
+    monkeypatch.setattr(fuzzy, "ratios", lambda *x: seen.append(len(x[3])) or plain(*x))
+    assert set(fuzzy.best_of(a, bs, threshold, len(letters))) == best(left, [*right, ""], threshold)
+    assert sum(seen) < 0.2 * len(left) * len(right)
+
+
+@pytest.mark.parametrize("threshold", [70])
+def test_best_match_against_brute_force(spark, monkeypatch, threshold):
+    monkeypatch.setattr(fuzzy, "BLOCK", 16)
+    monkeypatch.setattr(fuzzy, "PART", 64)
+    right = firms(150, 1) + words(30, 4) + ["x" * 70, "a" * 300]
+    left = [x[:4] + x[5:] for x in right[:60]] + words(20, 5) + words(30, 4)[:9] + ["", "x" * 68 + "y"]
+    df = lambda w: spark.createDataFrame([(x,) for x in w] + [(None,)], "v string")
+    match = fuzzy.fuzzy_match(df(left), "v", df(right), "v", threshold)
+    assert {(r.value_a, r.value_b, r.score) for r in match.collect()} == best(left, right, threshold)
+    assert "CartesianProduct" in match._jdf.queryExecution().executedPlan().toString()  # no table of blocks at the driver
