@@ -100,7 +100,7 @@ def best(texts, others, threshold):
     return {(x, y, -s) for x, (s, y) in got.items() if y is not None and -s >= threshold}
 
 
-@pytest.mark.parametrize("threshold", [70, 90])
+@pytest.mark.parametrize("threshold", [70, 80, 90])
 def test_best_matches_of_blocks_compare_few_pairs(monkeypatch, threshold):
     right = firms(600, 1)
     left = [x[:4] + x[5:] for x in right[:200]] + firms(100, 2) + ["", "é" * 80]
@@ -111,7 +111,7 @@ def test_best_matches_of_blocks_compare_few_pairs(monkeypatch, threshold):
     assert sum(seen) < 0.2 * len(left) * len(right)
 
 
-@pytest.mark.parametrize("threshold", [70, 90])
+@pytest.mark.parametrize("threshold", [70, 80, 90])
 def test_best_match_against_brute_force(spark, monkeypatch, threshold):
     monkeypatch.setattr(fuzzy, "BLOCK", 16)
     monkeypatch.setattr(fuzzy, "PART", 64)
