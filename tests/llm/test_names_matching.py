@@ -243,3 +243,15 @@ def test_short_whole_names_meet_across_every_length(spark):
     want = {(a, b) for a, x, _ in data for b, y, _ in data if a < b and levenshtein("".join(x), "".join(y)) <= 2}
     got = {(r.a, r.b) for r in name_variants.candidate_pairs(_contents(spark, data)).collect()}
     assert (1, 2) in want and want <= got
+
+
+def _broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Broadcast")
+
+
+def test_growing_tables_are_not_gathered_at_the_driver(spark):
+    data = [(f"k{i}", f"Pelmun Zanthu{i} Foods Ltd", f"{i} Oak St", "12345", "Limford", f"0908 63396{i:02d}", None, "", "") for i in range(12)]
+    classes, members = name_variants.classes_of(records(spark, data, "l"))
+    pairs = classes.select(F.col("cid").alias("a")).crossJoin(classes.select(F.col("cid").alias("b"))).where("a < b").localCheckpoint()
+    for df in (name_variants.near_words(spark.createDataFrame([("pelmun",), ("pelmum",)], "word string")), name_variants.town_words(classes), name_variants.unplaced_pairs(classes), name_variants.verified(classes, pairs), entity_match.exact_place_pairs(classes), entity_match.voted(classes, pairs)):
+        assert _broadcasts(df) == 0
