@@ -255,3 +255,11 @@ def test_growing_tables_are_not_gathered_at_the_driver(spark):
     pairs = classes.select(F.col("cid").alias("a")).crossJoin(classes.select(F.col("cid").alias("b"))).where("a < b").localCheckpoint()
     for df in (name_variants.near_words(spark.createDataFrame([("pelmun",), ("pelmum",)], "word string")), name_variants.town_words(classes), name_variants.unplaced_pairs(classes), name_variants.verified(classes, pairs), entity_match.exact_place_pairs(classes), entity_match.voted(classes, pairs)):
         assert _broadcasts(df) == 0
+
+
+def test_members_are_not_gathered_at_the_driver(spark, monkeypatch):
+    data = [(f"k{i}", f"Pelmun Zanthu{i % 3} Foods Ltd", "1 Oak St", "12345", "Limford", "0908 6339600", None, "", "") for i in range(6)]
+    pairs = spark.createDataFrame([(1, 2, "4000000000", 0.9)], "a long, b long, pattern string, confidence double")
+    monkeypatch.setattr(entity_match, "matched", lambda *x, **k: pairs)
+    rows_ = records(spark, data, "l")
+    assert _broadcasts(entity_match.variants(rows_)) == 0 and _broadcasts(entity_match.match(rows_, rows_)) == 0
