@@ -219,10 +219,11 @@ def best_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     match among those of ``right`` with an Indel ratio of at least ``threshold``
     percent; ties go to the least value.  Nulls match nothing; two empty texts score 100."""
     a, b = (cut(x.where("v is not null").distinct()) for x in (left, right))
-    same = a.join(b, "v").where(F.lit(float(threshold)) <= 100).select(F.col("v").alias("a"), F.col("v").alias("b"), F.lit(100.0).alias("score"))
+    # not by broadcast, which would gather a table that grows with the data at the driver
+    same = a.join(b.hint("merge"), "v").where(F.lit(float(threshold)) <= 100).select(F.col("v").alias("a"), F.col("v").alias("b"), F.lit(100.0).alias("score"))
     if threshold >= 100:
         return same
-    ba, bb = _blocks(a.join(b, "v", "left_anti"), "a"), _blocks(b, "b")
+    ba, bb = _blocks(a.join(b.hint("merge"), "v", "left_anti"), "a"), _blocks(b, "b")
     cores = a.sparkSession.sparkContext.defaultParallelism
     ba = ba.repartition(max(3 * cores, math.ceil(ba.count() / TURNS)))
     bb = bb.repartition(max(1, math.ceil(bb.count() * BLOCK / PART)))
