@@ -10,11 +10,13 @@ texts of 20 letters), meet by length alone, each pair once and in cells, so
 that no task has all texts of a length.  That part is quadratic in the texts of
 like length, which such thresholds ask for: they call most of them near.
 
-Where only the best match of each text is asked for, texts meet in blocks of
-like length instead: letter counts bound the ratio of all pairs of two blocks in
-one matrix product, and only pairs whose bound reaches the best match met so far
-are compared, many at a time.  That is quadratic as well, at a few nanoseconds a
-pair, and holds no more than two blocks' product at once.
+Where only the best match of each text is asked for, all pairs of like length
+meet instead: of counts of letters, the differences add up to no more than the
+insertions and deletions between two texts, and with a bit for the first, second
+... of each letter they are counted a machine word at a time.  Only pairs that
+differ by no more than the best match met so far allows are compared, many at a
+time.  That is quadratic as well, at a few nanoseconds a pair, and holds a few
+parts of the texts and a cell of their pairs at once.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -35,10 +38,12 @@ from tallyframe.session import cut, release
 
 #: Cells into which the texts of one length are spread where they meet by length alone.
 CELLS = 16
-#: Texts and letters in a block, texts of the right side and blocks of the left in a task, pairs compared at a time.
-BLOCK, LETTERS, PART, TURNS, PAIRS = 1024, 1 << 16, 100_000, 4, 1 << 15
-#: Letters of a text that fit in a machine word; kinds of letters that are counted apart, and up to which count exactly.
-WORD, KINDS, EXACT = 64, 96, 4
+#: Texts of the left side met at once, letters and texts in a part, parts of the right side in a task, pairs compared and signs of pairs at a time.
+BLOCK, LETTERS, PART, TURNS, PAIRS, CELL = 4096, 1 << 22, 100_000, 10, 1 << 15, 1 << 17
+#: Numbers of bits in a sign that are taken for one.
+SIMILAR = 2
+#: Letters of a text that fit in a machine word; kinds of letters that are counted apart, up to which count, in how many words of signs.
+WORD, KINDS, EXACT, WORDS = 64, 96, 4, 4
 _KEYS = StructType([StructField("ix", ArrayType(LongType())), StructField("pr", ArrayType(LongType()))])
 
 
@@ -118,20 +123,38 @@ class Block:
 
     def __init__(self, texts: list[str], letters: dict[str, int]) -> None:
         self.texts, self.n = texts, np.array([len(x) for x in texts], np.int64)
-        codes = np.array([letters.setdefault(c, len(letters) + 1) for x in texts for c in x], np.int64)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        number = np.zeros(int(points.max(initial=0)) + 1, np.int32)
+        for c in np.flatnonzero(np.bincount(points)):
+            number[c] = letters.setdefault(chr(c), len(letters) + 1)
+        codes = number[points]
         row = np.repeat(np.arange(len(texts)), self.n)
         at = np.arange(len(codes)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
         self.codes = np.zeros((max(int(self.n.max()), 1), len(texts)), np.int32)  # letters of one place side by side
         self.codes[at, row] = codes
-        self.counts = np.bincount(row * KINDS + codes % KINDS, minlength=len(texts) * KINDS).reshape(len(texts), KINDS).astype(np.int32)
-        self.most = self.counts.max(0)
-
-    def features(self, most: np.ndarray) -> np.ndarray:
-        """Vectors whose products are at least the letters that two texts share: for each
-        kind one for the first, second ... of its letters, and for those beyond,
-        as the root of their number, since min(x, y) <= sqrt(x) sqrt(y)."""
-        parts = [self.counts[:, most >= k] >= k for k in range(1, EXACT + 1)]
-        return np.concatenate([*parts, np.sqrt(np.maximum(self.counts[:, most > EXACT] - EXACT, 0))], 1).astype(np.float32)
+        counts = np.bincount(row * KINDS + codes % KINDS, minlength=len(texts) * KINDS).reshape(len(texts), KINDS)
+        self.counts = np.minimum(counts, EXACT).astype(np.uint8)
+
+    @cached_property
+    def kinds(self) -> list[tuple[int, int]]:
+        """Kinds of letters and how many of them: what about half of the texts have comes first, as it tells most apart."""
+        share = np.array([(self.counts >= k).mean(0) for k in range(1, EXACT + 1)])
+        return [(x % KINDS, x // KINDS + 1) for x in np.argsort(-(share * (1 - share)).ravel(), kind="stable")[: 64 * WORDS].tolist()]
+
+    def signs(self, kinds: list[tuple[int, int]]) -> np.ndarray:
+        """A bit for each of ``kinds`` that a text has so many of; words by texts."""
+        bits = self.counts[:, [c for c, _ in kinds]] >= np.array([k for _, k in kinds])
+        return np.ascontiguousarray(np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.uint64).T)
+
+    @cached_property
+    def alike(self) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+        """The texts' places by length and bits of the first sign (by ``SIMILAR``), their signs in that order, and of each such pair the first and end."""
+        signs = self.signs(self.kinds)
+        ones = np.bitwise_count(signs[0]).astype(np.int64) // SIMILAR * SIMILAR
+        order = np.lexsort((ones, self.n))
+        both, start = np.unique((self.n * 128 + ones)[order], return_index=True)
+        ends = [*start[1:].tolist(), len(order)]
+        return order, np.ascontiguousarray(signs[:, order]), [(x >> 7, x & 127, lo, hi) for x, lo, hi in zip(both.tolist(), start.tolist(), ends, strict=True)]
 
     def masks(self, letters: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Where each letter stands in each text, a bit each; the place of letters in it; its width."""
@@ -152,13 +175,12 @@ def ratios(a: Block, masks: tuple[np.ndarray, np.ndarray, int], b: Block, ai: np
         return np.array([indel_ratio(a.texts[i], b.texts[j]) for i, j in zip(ai, bi, strict=True)], float)
     out = np.empty(len(ai))
     where, place, width = masks
-    codes = place[b.codes]
     full = np.array([(1 << int(n)) - 1 for n in a.n], np.uint64)
     for lo in range(0, len(ai), PAIRS):
         i, j = ai[lo : lo + PAIRS], bi[lo : lo + PAIRS]
         base, s = i * width, np.full(len(i), np.uint64(0xFFFFFFFFFFFFFFFF))
-        for c in codes:
-            u = s & where.take(base + c.take(j))
+        for c in b.codes[: int(b.n[j].max())]:
+            u = s & where.take(base + place.take(c.take(j)))
             s = (s + u) | (s - u)
         both = a.n[i] + b.n[j]
         out[lo : lo + PAIRS] = np.where(both == 0, 100.0, 200.0 * (a.n[i] - np.bitwise_count(s & full[i])) / np.maximum(both, 1))
@@ -166,15 +188,21 @@ def ratios(a: Block, masks: tuple[np.ndarray, np.ndarray, int], b: Block, ai: np
 
 
 def best_of(a: Block, blocks: list[Block], threshold: float, letters: int) -> list[tuple[str, str, float]]:
-    """(a, b, score): the best match in ``blocks`` of each text of a block, the least of
-    equals.  The pair with the greatest bound comes first, as what it reaches
-    spares most of the others."""
+    """(a, b, score): the best match in ``blocks`` of each text of a block, the least of equals."""
     best, who = np.full(len(a.texts), float(threshold)), [None] * len(a.texts)
+    better(a, blocks, best, who, letters)
+    return [(x, y, float(s)) for x, y, s in zip(a.texts, who, best, strict=True) if y is not None]
+
+
+def better(a: Block, blocks: list[Block], best: np.ndarray, who: list[str | None], letters: int) -> None:
+    """Puts matches in ``blocks`` that are better than ``best`` in it, and their texts in ``who``.
+    Texts of nearest length come first, and of those the pairs whose letters
+    differ least, as what they reach spares most of the others."""
     masks = a.masks(letters)
 
-    def bounds(b: Block) -> np.ndarray:
-        most = np.minimum(a.most, b.most)
-        return a.features(most) @ b.features(most).T
+    def edits(ai: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """Insertions and deletions between a text and one of length n that reach its best match."""
+        return np.floor((1 - best[ai] / 100) * (a.n[ai] + n) + 1e-6).astype(np.int64)
 
     def take(b: Block, ai: np.ndarray, bi: np.ndarray) -> None:
         score = ratios(a, masks, b, ai, bi)
@@ -184,31 +212,72 @@ def best_of(a: Block, blocks: list[Block], threshold: float, letters: int) -> li
             if v > best[i] or v == best[i] and (who[i] is None or x < who[i]):
                 best[i], who[i] = v, x
 
-    first = np.full(len(a.texts), -1.0)
-    at = np.zeros((2, len(a.texts)), np.int64)
-    rows = np.arange(len(a.texts))
-    for k, b in enumerate(blocks):
-        u = bounds(b)
-        j = u.argmax(1)
-        r = u[rows, j] / np.maximum(a.n + b.n[j], 1)
-        new = r > first
-        first[new], at[0, new], at[1, new] = r[new], k, j[new]
-    for k, b in enumerate(blocks):
-        own = np.flatnonzero(at[0] == k)
-        take(b, own, at[1, own])
-    for b in sorted(blocks, key=lambda b: abs(int(b.n[0]) - int(a.n[0]))):
-        both = a.n[:, None] + (b.n[:1] if b.n.min() == b.n.max() else b.n)[None, :]
-        need = (best[:, None] / 200 * both - 1e-3 - 1e-5 * both).astype(np.float32)
-        take(b, *np.nonzero(bounds(b) >= need))
-    return [(x, y, float(s)) for x, y, s in zip(a.texts, who, best, strict=True) if y is not None]
-
-
-def _blocks(values: DataFrame, x: str) -> DataFrame:
-    """Blocks of distinct values ``v`` of like length: a key, the values, the least and greatest length."""
+    def compare(b: Block, found: list[tuple[np.ndarray, ...]]) -> None:
+        ai, bi, differ = map(np.concatenate, zip(*found, strict=True))
+        turns = np.argsort(differ / np.maximum(a.n[ai] + b.n[bi], 1), kind="stable")
+        at = 0
+        while at < len(turns):
+            size = max(len(a.texts), at)
+            k = turns[at : at + size]
+            k = k[differ[k] <= edits(ai[k], b.n[bi[k]])]  # what was met so far spares some
+            if len(k):
+                take(b, ai[k], bi[k])
+            at += size
+
+    every = np.arange(len(a.texts))
+    own = [a.signs(b.kinds) for b in blocks]
+    has = [np.bitwise_count(x[0]).astype(np.int64) for x in own]
+    middle, usual = float(np.median(a.n)), [float(np.median(x)) for x in has]
+    met = sorted((abs(n - middle), n, k, abs(p - usual[k]), p, lo, hi) for k, b in enumerate(blocks) for n, p, lo, hi in b.alike[2])
+    found, many = [], 0
+    words, ones, near = np.empty(CELL, np.uint64), np.empty(CELL, np.uint8), np.zeros(CELL, bool)
+    for at, (_, n, k, _, p, lo, hi) in enumerate(met):
+        b, mine = blocks[k], own[k]
+        order, theirs, _ = b.alike
+        if not at or met[at - 1][1:3] != (n, k):
+            most, rest = edits(every, n), n - a.n + has[k]
+        # letters without a bit in the first sign differ in number at least
+        first = most - np.maximum(np.abs(2 * (rest - p) - SIMILAR + 1) - SIMILAR + 1, 0) // 2
+        rows = np.flatnonzero(first >= np.maximum(np.abs(2 * (has[k] - p) - SIMILAR + 1) - SIMILAR + 1, 0) // 2)
+        for left in range(lo, hi, CELL):
+            cols = theirs[0, left : min(left + CELL, hi)]
+            step = CELL // len(cols)
+            for r in range(0, len(rows), step):
+                i = rows[r : r + step]
+                size = len(i) * len(cols)
+                w, o, m = (x[:size].reshape(len(i), -1) for x in (words, ones, near))
+                np.bitwise_xor(mine[0, i][:, None], cols, out=w)
+                np.bitwise_count(w, out=o)
+                np.less_equal(o, np.clip(first[i], 0, 64).astype(np.uint8)[:, None], out=m)
+                near[size : size + -size % 8] = False
+                eight = np.flatnonzero(near[: size + -size % 8].view(np.uint64) != 0)  # few are near
+                if not len(eight):
+                    continue
+                bit = np.flatnonzero(near.reshape(-1, 8)[eight])
+                y, x = np.divmod(eight[bit >> 3] * 8 + (bit & 7), len(cols))
+                ai, bi = i[y], left + x
+                differ = o[y, x].astype(np.int64)
+                for word in range(1, WORDS):  # instead of their number, each of them
+                    differ += np.bitwise_count(mine[word, ai] ^ theirs[word, bi])
+                    ok = differ <= most[ai]
+                    ai, bi, differ = ai[ok], bi[ok], differ[ok]
+                found.append((ai, order[bi], differ))
+                many += len(ai)
+                if many >= 8 * PAIRS:
+                    compare(b, found)
+                    found, many = [], 0
+        if many and (at + 1 == len(met) or met[at + 1][1:3] != (n, k)):
+            compare(b, found)
+            found, many = [], 0
+
+
+def _blocks(values: DataFrame, x: str, texts: int) -> DataFrame:
+    """Parts of distinct values ``v``: the values, their least and greatest length.  A part
+    has about ``texts`` values, all of up to a word of letters or all of like length."""
     n = F.length("v")
-    kind = F.when(n <= WORD, n).otherwise(WORD + 1 + F.floor(8 * F.log2(n / WORD))).cast("int")
+    kind = F.when(n <= WORD, 0).otherwise(WORD + 1 + F.floor(8 * F.log2(n / WORD))).cast("int")
     v = values.select("v", kind.alias("kind"), n.alias("n"))
-    cells = v.groupBy("kind").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / LETTERS)).alias("cells"))
+    cells = v.groupBy("kind").agg(F.ceil(F.greatest(F.count("*") / texts, F.sum("n") / LETTERS)).alias("cells"))
     cell = F.when(F.col("cells") > 1, F.pmod(F.xxhash64("v"), F.col("cells"))).otherwise(0)
     grouped = v.join(cells, "kind").groupBy("kind", cell.alias("cell")).agg(F.collect_list("v").alias(x), F.min("n").alias(f"lo_{x}"), F.max("n").alias(f"hi_{x}"))
     return cut(grouped.select(F.concat_ws("-", "kind", "cell").alias(f"id_{x}"), x, f"lo_{x}", f"hi_{x}"))
@@ -223,34 +292,36 @@ def best_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     same = a.join(b.hint("merge"), "v").where(F.lit(float(threshold)) <= 100).select(F.col("v").alias("a"), F.col("v").alias("b"), F.lit(100.0).alias("score"))
     if threshold >= 100:
         return same
-    ba, bb = _blocks(a.join(b.hint("merge"), "v", "left_anti"), "a"), _blocks(b, "b")
+    rest, bb = cut(a.join(b.hint("merge"), "v", "left_anti")), _blocks(b, "b", PART)
     cores = a.sparkSession.sparkContext.defaultParallelism
-    ba = ba.repartition(max(3 * cores, math.ceil(ba.count() / TURNS)))
-    bb = bb.repartition(max(1, math.ceil(bb.count() * BLOCK / PART)))
-    # some lengths in the two blocks allow the ratio
+    # a task has one part of the left side and some of the right, whose matches spare it work; as many tasks as keep all cores busy
+    turns = math.ceil(bb.count() / TURNS)
+    ba = _blocks(rest, "a", min(PART // 2, max(BLOCK // 8, math.ceil(rest.count() * turns / (4 * cores)))))
+    ba, bb = ba.repartitionByRange(max(1, ba.count()), "id_a"), bb.repartitionByRange(max(1, turns), "id_b")  # one and as many a task
+    # some lengths in the two parts allow the ratio
     near = (200.0 * F.col("hi_a") + 1e-6 >= threshold * (F.col("hi_a") + F.greatest("hi_a", "lo_b"))) & (200.0 * F.col("hi_b") + 1e-6 >= threshold * (F.col("hi_b") + F.greatest("hi_b", "lo_a")))
-    met = ba.hint("shuffle_replicate_nl").join(bb, near).select("id_a", "a", "id_b", "b")
+    met = ba.hint("shuffle_replicate_nl").join(bb, near).select("id_a", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters: dict[str, int] = {}
-        known: dict[str, Block] = {}
-        now, block, others = None, None, []
+        now, own = None, []
 
         def said() -> Iterator[pa.RecordBatch]:
-            if others:
-                rows = best_of(block, others, threshold, len(letters))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], ["a", "b", "score"])
+            for block, best, who in own:
+                k = [i for i, y in enumerate(who) if y is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([block.texts[i] for i in k], pa.string()), pa.array([who[i] for i in k], pa.string()), pa.array(best[k], pa.float64())], ["a", "b", "score"])
 
         for batch in batches:
-            ids_a, va, ids_b, vb = batch.columns
+            ids_a, va, vb = batch.columns
             for k in range(batch.num_rows):
-                ia, ib = ids_a[k].as_py(), ids_b[k].as_py()
-                if ia != now:
+                if ids_a[k].as_py() != now:
                     yield from said()
-                    now, block, others = ia, Block(va[k].as_py(), letters), []
-                if ib not in known:
-                    known[ib] = Block(vb[k].as_py(), letters)
-                others.append(known[ib])
+                    now, texts = ids_a[k].as_py(), sorted(va[k].as_py(), key=len)
+                    blocks = [Block(texts[lo : lo + BLOCK], letters) for lo in range(0, len(texts), BLOCK)]
+                    own = [(x, np.full(len(x.texts), float(threshold)), [None] * len(x.texts)) for x in blocks]
+                right = Block(vb[k].as_py(), letters)
+                for block, best, who in own:
+                    better(block, [right], best, who, len(letters))
         yield from said()
 
     return same.unionByName(met.mapInArrow(run, "a string, b string, score double"))

@@ -121,3 +121,25 @@ def test_best_match_against_brute_force(spark, monkeypatch, threshold):
     match = fuzzy.fuzzy_match(df(left), "v", df(right), "v", threshold)
     assert {(r.value_a, r.value_b, r.score) for r in match.collect()} == best(left, right, threshold)
     assert "CartesianProduct" in match._jdf.queryExecution().executedPlan().toString()  # no table of blocks at the driver
+
+
+@pytest.mark.parametrize("threshold", [70, 80])
+def test_best_matches_carry_over_parts_and_spare_pairs(monkeypatch, threshold):
+    left, other = firms(200, 1), firms(400, 2)
+    near = [x[:4] + x[5:] for x in left]
+    letters, seen, plain = {}, [], fuzzy.ratios
+    a, first, second = (fuzzy.Block(x, letters) for x in (left, near, other))
+    monkeypatch.setattr(fuzzy, "ratios", lambda *x: seen.append(len(x[3])) or plain(*x))
+
+    def compared(*parts):
+        top, who = [float(threshold)] * len(left), [None] * len(left)
+        top = fuzzy.np.array(top)
+        for part in parts:
+            seen.clear()
+            fuzzy.better(a, [part], top, who, len(letters))
+        return sum(seen), {(x, y, s) for x, y, s in zip(left, who, top, strict=True) if y is not None}
+
+    alone, _ = compared(second)
+    after, found = compared(first, second)
+    assert found == best(left, [*near, *other], threshold)
+    assert after < 0.5 * alone
